@@ -1,0 +1,33 @@
+"""The same queries in plain SQL, for comparison on the same tables."""
+
+from __future__ import annotations
+
+_ORPHANS = r"""
+WITH times AS (SELECT chunk_id, min(indexed_at) AS first_at, max(indexed_at) AS last_at FROM chunks WHERE chunk_id IS NOT NULL GROUP BY 1),
+gone AS (SELECT chunk_id, max(deleted_at) AS deleted_at FROM chunk_deletions GROUP BY 1),
+secs AS (SELECT doc_id, regexp_replace(lower(section_id), '^\s+|[\s.]+$', '', 'g') AS label, min(parsed_at) AS first_at FROM sections GROUP BY 1, 2),
+refs AS (
+  SELECT DISTINCT chunk_id, doc_id, ref_field, target FROM (
+    SELECT chunk_id, doc_id, 'cross_references' AS ref_field, unnest(cross_references) AS target FROM chunks
+    UNION ALL SELECT chunk_id, doc_id, 'cross_reference_ids', unnest(cross_reference_ids) FROM chunks
+    UNION ALL SELECT chunk_id, doc_id, 'definition_ids', unnest(definition_ids) FROM chunks)
+  WHERE chunk_id IS NOT NULL AND target IS NOT NULL AND regexp_replace(target, '\s', '', 'g') <> ''),
+judged AS (
+  SELECT r.chunk_id, r.ref_field, r.target, me.first_at,
+    CASE WHEN r.ref_field = 'cross_references' THEN CASE WHEN s.label IS NULL THEN 'missing' WHEN s.first_at > me.first_at THEN 'late' END
+      WHEN g.chunk_id IS NOT NULL AND NOT coalesce(t.last_at > g.deleted_at, FALSE) THEN 'deleted'
+      WHEN t.chunk_id IS NULL THEN 'missing' WHEN t.first_at > me.first_at THEN 'late' END AS reason
+  FROM refs r JOIN times me ON me.chunk_id = r.chunk_id
+  LEFT JOIN secs s ON r.ref_field = 'cross_references' AND s.doc_id = r.doc_id AND s.label = regexp_replace(lower(r.target), '^\s+|[\s.]+$', '', 'g')
+  LEFT JOIN times t ON r.ref_field <> 'cross_references' AND t.chunk_id = r.target
+  LEFT JOIN gone g ON r.ref_field <> 'cross_references' AND g.chunk_id = r.target)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p1_found": _ORPHANS + "SELECT chunk_id, ref_field, target, reason FROM judged WHERE reason IS NOT NULL",
+        "p1_report": _ORPHANS + """SELECT ref_field, CASE WHEN ref_field = 'cross_references' THEN 'sections' ELSE 'chunks' END AS target_table,
+  strftime(first_at, '%Y-%m') AS month, reason, count(*) AS orphans, count(DISTINCT chunk_id) AS referring_chunks
+  FROM judged WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4""",
+    }
