@@ -1,0 +1,71 @@
+"""Sessions, traces and usage: append-only logs and the views over them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from clausemill.operators.ranking import top_k
+
+#: Fixed value: the keys of a trace that an update may set.
+KEYS = (
+    "query_type needs_retrieval sub_queries doc_id context_size iteration iterations sufficient missing_info strategy summary final_answer "
+    "citations unverified_citations confidence low_confidence faithfulness error latency_ms token_usage planner_reasoning"
+).split()
+HISTORY, WINDOW_MICROS = 50, 60_000_000
+
+
+def latest(traces: DataFrame) -> DataFrame:
+    """One row per question: its last state; a finished state beats a running one, then the later one counts."""
+    return top_k(traces.where("query_id is not null"), ["query_id"], [(F.col("status") == "running").asc(), F.col("created_at").desc(), F.col("iteration").desc(), F.col("last_node")], 1, "_n").drop("_n")
+
+
+def merged(updates: DataFrame) -> DataFrame:
+    """(query_id, fields, last_node) from updates (query_id, seq, node, key, value): the last write of each allowed key wins."""
+    known = updates.where(F.col("key").isin(KEYS)).dropDuplicates(["query_id", "seq", "key"])
+    last = known.groupBy("query_id", "key").agg(F.max_by("value", "seq").alias("value"))
+    fields = last.groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("fields"))
+    return fields.join(updates.groupBy("query_id").agg(F.max_by("node", "seq").alias("last_node")), "query_id", "full")
+
+
+def history(traces: DataFrame, most: int = HISTORY) -> DataFrame:
+    """(session_id, place, query_id, raw_query, status, created_at): the last questions of each session, the newest first."""
+    rows = latest(traces).where("session_id is not null")
+    return top_k(rows, ["session_id"], [F.col("created_at").desc(), F.col("query_id")], most, "place").select("session_id", "place", "query_id", "raw_query", "status", "created_at")
+
+
+def sessions(traces: DataFrame) -> DataFrame:
+    """(session_id, created_at, queries): the session begins with its first row; its questions count once."""
+    return traces.where("session_id is not null").groupBy("session_id").agg(F.min("created_at").alias("created_at"), F.countDistinct("query_id").alias("queries"))
+
+
+def usage(events: DataFrame) -> DataFrame:
+    """(event_type, calls, total, mean): sums per node over the event log."""
+    return events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+def rate(events: DataFrame, hours: str = "hour") -> DataFrame:
+    """(event_id, requests, tokens): how many events and how much value the 60 seconds up to each event hold, one exactly 60 seconds old left out.
+
+    Events are cut into hours; each hour also gets the last minute of the one before, so that the window is
+    computed in many tasks and no task sorts the whole log.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = events.where("ts is not null").select("event_id", F.col("value"), at.alias("at"))
+    size = 3_600_000_000
+    own = F.floor(F.col("at") / size)
+    spread = timed.withColumn("slot", F.explode(F.array_distinct(F.array(own, F.floor((F.col("at") + WINDOW_MICROS - 1) / size)))))
+    w = W.partitionBy("slot").orderBy("at").rangeBetween(-(WINDOW_MICROS - 1), 0)
+    counted = spread.withColumn("requests", F.count("*").over(w)).withColumn("tokens", F.round(F.sum("value").over(w), 4))
+    return counted.where(F.col("slot") == own).select("event_id", "requests", "tokens")
+
+
+def replay(traces: DataFrame) -> DataFrame:
+    """(query_id, step, node): the steps that a stored trace went through, in order, told from its last state."""
+    steps = F.concat(
+        F.array(F.lit("planner")),
+        F.when(F.coalesce("needs_retrieval", F.lit(True)), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.coalesce("iteration", F.lit(1)), F.lit(1))), lambda i: F.array(F.lit("retrieve"), F.lit("sufficiency"))))).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit("generate"), F.lit("faithfulness")),
+    )
+    return latest(traces).select("query_id", F.posexplode(steps).alias("step", "node"))
