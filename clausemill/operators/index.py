@@ -116,18 +116,18 @@ def embed(texts: DataFrame, key: str, text: str, model: str = MODEL) -> DataFram
 def build(spark: SparkSession, chunks: DataFrame, path: str, model: str = MODEL, rebuild: bool = False) -> DataFrame:
     """Bring the vector table under `path` up to date and return the plan that was carried out.
 
-    Only new and changed chunks are embedded. The new state is written beside the old one and then named in `_current`, so that a reader
+    Only new and changed chunks are embedded. The new state is written beside the old one and then named in `current.txt`, so that a reader
     never sees half a table; a rebuild drops what is no longer there.
     """
     import uuid
 
     hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
     fs_path = jvm.org.apache.hadoop.fs.Path
-    pointer = fs_path(f"{path}/_current")
+    pointer = fs_path(f"{path}/current.txt")
     fs = pointer.getFileSystem(hadoop)
     old = None
     if fs.exists(pointer) and not rebuild:
-        old = spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_current').first()[0]}")
+        old = spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current.txt').first()[0]}")
     now = hashes(chunks, model)
     planned = plan(now, old if old is not None else now.limit(0))
     todo = planned.where("action = 'embed'").select("chunk_id")
