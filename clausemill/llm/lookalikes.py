@@ -26,7 +26,6 @@ INVISIBLE = r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{18
 COMPAT = r"\x{FF01}-\x{FF5E}\x{FFE0}-\x{FFE6}\x{FB00}-\x{FB06}\x{2160}-\x{217F}\x{2070}-\x{209C}\x{2460}-\x{24FF}\x{132}\x{133}\x{149}\x{17F}\x{1C4}-\x{1CC}\x{1D400}-\x{1D7FF}\x{210A}-\x{2113}\x{2115}\x{2119}-\x{211D}\x{2124}\x{2128}-\x{2131}"
 SUSPECT = rf"[{FOREIGN}{SPACES}{INVISIBLE}{COMPAT}\x{{300}}-\x{{36F}}]"
 _BLANK = r" \t\n\x{B}\f\r"
-TOKEN = rf"[^{_BLANK}]*{SUSPECT}[^{_BLANK}]*"
 
 
 def _py(cls: str) -> str:
@@ -56,12 +55,15 @@ def fields(chunks: DataFrame) -> DataFrame:
     """(chunk_id, text_field, value): the suspect texts and terms; the JVM's pattern drops all others."""
     text = chunks.select("chunk_id", F.lit("text").alias("text_field"), F.col("text").alias("value"))
     terms = chunks.select("chunk_id", F.lit("defines_terms").alias("text_field"), F.explode("defines_terms").alias("value"))
-    return text.unionByName(terms).where(F.col("chunk_id").isNotNull() & F.col("value").rlike(SUSPECT))
+    return text.unionByName(terms).where(
+        F.col("chunk_id").isNotNull() & (F.octet_length("value") > F.char_length("value")) & F.col("value").rlike(SUSPECT)
+    )
 
 
 def tokens(suspect: DataFrame) -> DataFrame:
     """(chunk_id, text_field, token) of the suspect words, once each."""
-    return suspect.select("chunk_id", "text_field", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(TOKEN), F.lit(0)))).alias("token")).distinct()
+    words = F.filter(F.split("value", f"[{_BLANK}]+"), lambda w: (F.octet_length(w) > F.char_length(w)) & w.rlike(SUSPECT))
+    return suspect.select("chunk_id", "text_field", F.explode(F.array_distinct(words)).alias("token")).distinct()
 
 
 def classes(found: DataFrame) -> DataFrame:
