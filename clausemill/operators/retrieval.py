@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
-from clausemill.operators.joins import salted_join
 from clausemill.operators.ranking import top_k
 from clausemill.sources.tables import staged
 
@@ -19,6 +20,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_N, TOP_K, RRF_K = 40, 6, 60
 #: Query vectors that go to all workers at once; more are taken in turns.
 QUERY_BLOCK = 20_000
+#: Cells of a matrix of questions and documents.
+MATRIX = 2_000_000
 
 
 # --- BM25 ---------------------------------------------------------------------------------------------------------
@@ -45,25 +48,92 @@ def inverse_frequencies(post: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats)).select("term", "df", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"), "mean_length")
 
 
-def bm25(questions: DataFrame, docs: DataFrame, key: str, text: Column, k: int = TOP_N, keep: Callable[[DataFrame], DataFrame] | None = None, keep_after: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _bm25_block(asked: list[tuple[str, dict[str, int], str | None]], idf: dict[str, float], mean_length: float, held: DataFrame, k: int) -> DataFrame:
+    by_term: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for i, (_, times, _) in enumerate(asked):
+        for t, n in times.items():
+            by_term.setdefault(t, ([], []))
+            by_term[t][0].append(i)
+            by_term[t][1].append(n * idf.get(t, 0.0))
+    terms = {t: (np.array(q), np.array(w, np.float64)) for t, (q, w) in by_term.items()}
+    shared = held.sparkSession.sparkContext.broadcast((terms, [q for q, _, _ in asked], np.array([g or "" for _, _, g in asked], object)))
+    docs_at_once = max(64, MATRIX // max(1, len(asked)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, names, groups = shared.value
+        names = np.array(names, object)
+        some_group = bool((groups != "").any())
+        for batch in batches:
+            keys, own, texts = (batch.column(i).to_pylist() for i in range(3))
+            for lo in range(0, len(keys), docs_at_once):
+                order = sorted(range(lo, min(len(keys), lo + docs_at_once)), key=keys.__getitem__)
+                places: dict[str, list[tuple[int, float]]] = {}
+                for d, i in enumerate(order):
+                    size = K1 * (1 - B + B * len(texts[i]) / mean_length)
+                    for t, n in Counter(x for x in texts[i] if x in weights).items():
+                        places.setdefault(t, []).append((d, n * (K1 + 1) / (n + size)))
+                if not places:
+                    continue
+                score, met = np.zeros((len(names), len(order))), np.zeros((len(names), len(order)), bool)
+                for t, at in places.items():
+                    q, w = weights[t]
+                    cells = np.ix_(q, [d for d, _ in at])
+                    score[cells] += np.outer(w, [x for _, x in at])
+                    met[cells] = True
+                if some_group:
+                    met &= (groups[:, None] == "") | (groups[:, None] == np.array([own[i] or "" for i in order], object)[None, :])
+                score = np.where(met, np.round(score, 9), -np.inf)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                real = np.isfinite(np.take_along_axis(score, best, 1))
+                rows, cols = np.nonzero(real)
+                chosen = best[rows, cols]
+                shown = np.array([keys[i] for i in order], object)
+                yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.string()), pa.array(shown[chosen], pa.string()), pa.array(score[rows, chosen])], names=["query_id", "key", "score"])
+
+    return held.mapInArrow(run, "query_id string, key string, score double")
+
+
+def bm25(questions: DataFrame, docs: DataFrame, key: str, text: Column, k: int = TOP_N, group: Column | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each question that share a token with it.
 
-    questions has query_id and raw_query; a token repeated in the question counts as often. Scores are rounded to nine
+    questions has query_id and raw_query; a token repeated in the question counts as often. With `group`, a value of each document,
+    a question whose doc_id is not null is only answered from the documents of that group. Scores are rounded to nine
     decimals before they are ranked and ties go to the smaller key, so the result does not depend on the order of
-    sums. `keep` filters the scored rows before the cut, `keep_after` after it (ranks are then made anew). Null and empty texts
-    count in the statistics and are never found.
+    sums. Null and empty texts count in the statistics and are never found.
+
+    Texts are tokenized once. Each task scores a batch of documents against a block of questions as one matrix and keeps k
+    a question, so the shuffle carries k rows a batch and question, not one per shared token; QUERY_BLOCK bounds the block.
     """
-    post = staged(postings(docs, key, text), "postings")
-    stats = staged(corpus_statistics(docs, post, key, text), "bm25_stats")
-    asked = questions.select("query_id", F.explode(T.tokens(F.col("raw_query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = inverse_frequencies(post, stats).join(asked.select("term").distinct(), "term")
-    hits = salted_join(salted_join(post, wanted, "term", "key"), asked.groupBy("term").agg(F.collect_list(F.struct("query_id", "times")).alias("asked")), "term", "key")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = hits.select("key", part.alias("part"), F.explode("asked").alias("a")).groupBy(F.col("a.query_id").alias("query_id"), "key").agg(F.round(F.sum(F.col("part") * F.col("a.times")), 9).alias("score"))
-    if keep:
-        scored = keep(scored)
-    best = top_k(scored, ["query_id"], [F.col("score").desc(), F.col("key")], k)
-    return top_k(keep_after(best.drop("rank")), ["query_id"], [F.col("score").desc(), F.col("key")], k) if keep_after else best
+    held = staged(docs.select(F.col(key).cast("string").alias("key"), (F.lit(None).cast("string") if group is None else group).alias("own"), T.tokens(text).alias("tokens")).where("key is not null"), "bm25_tokens")
+    size = held.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    df = staged(held.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25_terms")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    stats = df.join(F.broadcast(size)).groupBy("n", "mean_length").agg(F.avg(raw).alias("mean_idf")).first()
+    columns = "query_id string, key string, score double"
+    parts = None
+    if stats is not None:
+        restricted = group is not None and "doc_id" in questions.columns
+        asked = questions.where("query_id is not null").select("query_id", T.tokens(F.col("raw_query")).alias("tokens"), (F.col("doc_id") if restricted else F.lit(None).cast("string")).alias("of"))
+        block: list[tuple[str, dict[str, int], str | None]] = []
+        rows = asked.toLocalIterator()
+        while True:
+            row = next(rows, None)
+            if row is not None:
+                block.append((row["query_id"], dict(Counter(row["tokens"])), row["of"]))
+            if block and (row is None or len(block) == QUERY_BLOCK):
+                wanted = held.sparkSession.createDataFrame([(t,) for t in sorted({t for _, ts, _ in block for t in ts})] or [("",)], "term string")
+                found = df.join(F.broadcast(wanted), "term").collect()  # at most the tokens of a block of questions
+                idf = {}
+                for r in found:
+                    x = math.log(stats["n"] - r["df"] + 0.5) - math.log(r["df"] + 0.5)
+                    idf[r["term"]] = EPSILON * stats["mean_idf"] if x < 0 else x
+                one = _bm25_block(block, idf, stats["mean_length"], held, k)
+                parts, block = one if parts is None else parts.unionByName(one), []
+            if row is None:
+                break
+    if parts is None:
+        parts = docs.sparkSession.createDataFrame([], columns)
+    return top_k(parts, ["query_id"], [F.col("score").desc(), F.col("key")], k)
 
 
 # --- dense --------------------------------------------------------------------------------------------------------

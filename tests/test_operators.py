@@ -210,11 +210,11 @@ def test_token_batches_cover_all(spark):
 
 
 def test_roster(spark):
-    assert roster.clean_company("KINGPHARMACEUTICALSINC") == "King Pharmaceuticals INC" and roster.clean_company("HarpoonTherapeuticsInc") == "Harpoon Therapeutics INC"
-    m = spark.createDataFrame([("doc_1", "KINGPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t"), ("doc_2", "acmeworks-Development And Option Agreement.txt", "t"), (None, "x.txt", "t"), ("doc_1", "KINGPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t")], "doc_id string, source_file string, title string")
+    assert roster.clean_company("NORTHPHARMACEUTICALSINC") == "North Pharmaceuticals INC" and roster.clean_company("BrightTherapeuticsInc") == "Bright Therapeutics INC"
+    m = spark.createDataFrame([("doc_1", "NORTHPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t"), ("doc_2", "acmeworks-Development And Option Agreement.txt", "t"), (None, "x.txt", "t"), ("doc_1", "NORTHPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t")], "doc_id string, source_file string, title string")
     r = roster.roster(m)
     assert {(x.doc_id, x.kind) for x in r.collect()} == {("doc_1", "Supply Agreement"), ("doc_2", "Development And Option Agreement")}
-    q = spark.createDataFrame([("a", "What of DOC_2?"), ("b", "the King Pharmaceuticals deal"), ("c", "is Acmeworks bound"), ("d", "making things"), ("e", None)], "query_id string, raw_query string")
+    q = spark.createDataFrame([("a", "What of DOC_2?"), ("b", "the North Pharmaceuticals deal"), ("c", "is Acmeworks bound"), ("d", "making things"), ("e", None)], "query_id string, raw_query string")
     assert {(x.query_id, x.doc_id) for x in roster.resolve(q, r).collect()} == {("a", "doc_2"), ("b", "doc_1"), ("c", "doc_2")}
 
 
