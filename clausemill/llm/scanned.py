@@ -59,8 +59,11 @@ def line_key(line: str) -> str:
 
 
 def pattern_of(key: str) -> str:
-    """The key with kinds of agreement, months and file codes masked too: what repeats across agreements."""
-    s = re.sub(r"(?:[a-z\-]+ ){1,3}agreement$", "% agreement", key)
+    """The key with names, kinds of agreement, months and file codes masked too: what repeats across agreements."""
+    s = re.sub(r"^[^/]{3,60} / ", "@ / ", key)
+    s = re.sub(r"^.{3,60} privileged and confidential$", "@ privileged and confidential", s)
+    s = re.sub(r"^source: .{3,60}, #-k,", "source: @, #-k,", s)
+    s = re.sub(r"^(schedule [a-z#]+ to the )?(@ / )?(\S+ \S+ (?=\S+ \S+ agreement$)|@ )?(?:\S+ ){1,3}agreement$", lambda m: f"{'schedule to ' if m[1] else ''}{m[2] or ''}{'@ ' if m[3] else ''}% agreement", s)
     s = _MONTH.sub("month", s)
     return re.sub(r"^[a-z]{2,12}-#(?:\.#)?$", "code-#", s)
 
