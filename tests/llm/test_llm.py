@@ -250,6 +250,15 @@ def test_slices_of_a_large_block(spark, monkeypatch):
     assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == near_truth(rows)
 
 
+def test_no_link_is_missed_at_the_least_share(spark):
+    rows, want = [], set()
+    for k in range(600):  # 30 of 50 runs are shared: exactly 0.60
+        head, a, b = ([f"{x}{k}q{j}" for j in range(n)] for x, n in (("h", 32), ("a", 10), ("b", 10)))
+        rows += [(f"x{k:03}", " ".join(head + a), None), (f"y{k:03}", " ".join(head + b), None)]
+        want.add((f"x{k:03}", f"y{k:03}"))
+    assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == want
+
+
 def test_the_tree_bounds_from_above():
     import numpy as np
 
