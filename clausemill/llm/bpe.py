@@ -23,6 +23,8 @@ _L, _N = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f", "0-9\\xb2\\
 _ANY = regex.compile(PATTERN.replace(r"\s\p", f"{_S}\\p").replace(r"\S", f"[^{_S}]").replace(r"\s", f"[{_S}]"))
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _OTHER = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\ufffd]")
+#: A space beside other white space, with which the pattern may take it as one word.
+_BESIDE = re.compile(f" [{_S}]|[{_S}] ")
 #: Words up to so many bytes are merged on the flat array; longer ones through a heap. The memo is emptied at its bound.
 SHORT, MEMO = 200, 400_000
 
@@ -111,8 +113,8 @@ class _Units(dict):
 class Encoder:
     """Encodes texts, each word once.
 
-    No word of the pattern goes on over a single space: one begins there. So a text without two spaces in a row falls
-    apart at its spaces, and the parts are looked up whole; any other text is split by the pattern.
+    No word of the pattern goes on over a space with no white space beside it: one begins there. So a text all of whose spaces
+    stand so, and none at its ends, falls apart at them, and the parts are looked up whole; any other text is split by the pattern.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -126,7 +128,7 @@ class Encoder:
             if len(memo) > MEMO:
                 memo.clear()
         units = text.split(" ")
-        if "" in units:
+        if not units[0] or not units[-1] or _BESIDE.search(text):
             return b"".join(map(self.words.__getitem__, split_words(text)))
         first = b"".join(map(self.words.__getitem__, split_words(units.pop(0))))
         return first + b"".join(map(self.units.__getitem__, units))

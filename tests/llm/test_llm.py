@@ -43,6 +43,16 @@ def test_encoding_equals_the_public_library(ranks):
     assert ours.ids("<|endoftext|>") == theirs.encode_ordinary("<|endoftext|>")
 
 
+def test_runs_of_mixed_white_space_stay_whole(ranks):
+    import tiktoken
+
+    theirs = tiktoken.Encoding("x", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ours = bpe.Encoder(ranks)
+    for white in (" \xa0 \xa0 ", " \xa0" * 4, " \xa0" * 8 + " ", "\xa0 ", " \n ", "\n \n", " \u3000 \u3000"):
+        for text in (f"1.{white}Definitions", f"the end{white}", f"{white}x y", f"a b{white}c d"):
+            assert ours.ids(text) == theirs.encode_ordinary(text), repr(text)
+
+
 def test_long_words_merge_as_short_ones(ranks):
     rng = random.Random(1)
     for n in (1, 2, 7, 60, 150):
