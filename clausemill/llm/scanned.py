@@ -35,7 +35,8 @@ _SPACED = re.compile(r"^(?:\S )+\S$")
 _COMPANY = re.compile(r"^(?:\S+ ){1,2}(?:LLC|Ltd|LTD|Inc\.|INC\.|Corp\.|CORP\.|Group|GROUP|Partners|PARTNERS)(?= |\t|$)|(?<=^Source: )(?:\S+ ){1,2}(?:LLC|LTD|INC\.|CORP\.|GROUP|PARTNERS)(?=,)")
 _CUT = re.compile(r"([^\W\d_]+)([-¬‐])[ \t]*$")
 _HEAD = re.compile(r"^[ \t]*([^\W\d_]+)")
-_LETTERS = re.compile(r"[^\W_]+(?:[|!][^\W_]+)*")
+#: A word, and the bars and exclamation marks at its ends, which may be misread letters of it.
+_LETTERS = re.compile(r"([|!]{0,3})([^\W_]+(?:[|!][^\W_]+)*)([|!]{0,3})")
 _COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 #: A number in which letters stand for digits, with a digit beside them, or only such letters where the words after or the signs before ask for a number.
 _MIXED = re.compile(r"(?<![\w\-/.])(?:€|\$)?(?=[\dOIlS|,]*[OIlS|])(?=[\dOIlS|,]*\d)[\dOIlS|]+(?:,[\dOIlS|]{3})*(?![\w\-/|])")
@@ -158,6 +159,15 @@ def body_of(lines: list[str], pages: set[int]) -> str:
     return " ".join(kept)
 
 
+def _forms(lead: str, core: str, trail: str) -> list[str]:
+    """The word with each part of the signs at its ends, the bare word last."""
+    return [lead[i:] + core + trail[:j] for i in range(len(lead) + 1) for j in range(len(trail), -1, -1)]
+
+
+def words_in(unit: str) -> list[str]:
+    return [w for m in _LETTERS.findall(unit) for w in (_forms(*m) if m[0] or m[2] else m[1:2])]
+
+
 class _Tally:
     """Counts of a partition: runs of signs between spaces, taken apart into words only when the counts are given out."""
 
@@ -181,7 +191,7 @@ class _Tally:
                 if unit.isalpha() and len(unit) <= LONGEST:
                     out["word", unit.lower()] += n
                     continue
-                for w in _LETTERS.findall(unit):
+                for w in words_in(unit):
                     if len(w) <= LONGEST and not w.isdigit():
                         out["word", w.lower()] += n
                 if "-" in unit:
@@ -209,7 +219,7 @@ def statistics(chunks: DataFrame) -> DataFrame:
 
 def skeleton(word: Column) -> Column:
     """Words that a scanner may take for each other have the same skeleton: signs and groups of signs of like shape become one."""
-    s = F.lower(word)
+    s = F.translate(F.lower(word), "|!", "ll")
     for many, one in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ci", "d"), ("c1", "d"), ("ii", "n"), ("li", "n"), ("l1", "n"), ("1i", "n")):
         s = F.replace(s, F.lit(many), F.lit(one))
     return F.translate(s, "0oa1il|!jyv5sec6bh9gqtfunzkx", "oooiiiiiivvssccnnngggttnnzkx")
@@ -246,7 +256,7 @@ def _clue_rows(chunks: DataFrame, frequent: list[str]) -> DataFrame:
                 for unit in set(body.split()):
                     got = memo.get(unit)
                     if got is None:
-                        got = tuple(w for x in _LETTERS.findall(unit) if len(x) <= LONGEST and not x.isdigit() and (w := x.lower()) not in known) if len(unit) <= 4 * LONGEST else ()
+                        got = tuple(w for x in words_in(unit) if len(x) <= LONGEST and not x.isdigit() and (w := x.lower()) not in known) if len(unit) <= 4 * LONGEST else ()
                         if len(memo) > 300_000:
                             memo.clear()
                         memo[unit] = got
@@ -370,8 +380,13 @@ def repair(text: str, furniture_keys: set[str], joined: set[str], repaired: dict
             out.append(line)
 
     def right(m: re.Match) -> str:
-        to = repaired.get(m[0].lower())
-        return m[0] if to is None else to.upper() if m[0].isupper() and len(m[0]) > 1 else to.capitalize() if m[0][0].isupper() else to
+        for i in range(len(m[1]) + 1):
+            for j in range(len(m[3]), -1, -1):
+                word = m[1][i:] + m[2] + m[3][:j]
+                if (to := repaired.get(word.lower())) is not None:
+                    to = to.upper() if word.isupper() and len(m[2]) > 1 else to.capitalize() if word[0].isupper() else to
+                    return m[1][:i] + to + m[3][j:]
+        return m[0]
 
     body = "\n".join(out)
     if repaired:

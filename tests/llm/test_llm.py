@@ -324,6 +324,16 @@ def test_scanning_noise(spark):
     assert scanned.found(none, sections).collect() == []
 
 
+def test_bars_at_the_ends_of_words(spark):
+    sections = spark.createDataFrame([("PAYMENT TERMS",)], "title string")
+    sound = "The license shall hold and the parties will keep the goods."
+    bad = {"first": sound.replace("license", "|icense"), "last": sound.replace("shall", "shal|"), "two": sound.replace("will", "wi||"), "mark": sound.replace("goods.", "g0ods!")}
+    df = chunk_rows(spark, [(f"c{k}", sound, None) for k in range(60)] + [(k, t, None) for k, t in bad.items()] + [("real", "The goods! And | the license.", None)])
+    assert {tuple(r) for r in scanned.found(df, sections).collect()} == {(k, "chars") for k in bad}
+    got = {r.chunk_id: r.repaired for r in scanned.repaired_texts(df, sections).collect()}
+    assert got == {k: sound for k in bad if k != "mark"} | {"mark": sound[:-1] + "!"}
+
+
 def test_repair_gives_the_paragraph_back(spark):
     sections = spark.createDataFrame([("PAYMENT TERMS",)], "title string")
     got = {r.chunk_id: r.repaired for r in scanned.repaired_texts(chunk_rows(spark, scanned_rows()), sections).collect()}
