@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import text as T
 from clausemill.operators.orphans import label_key
 from clausemill.operators.ranking import top_k
+from clausemill.sources.tables import staged
 
 #: A container stands for at most so many of the chunks below it.
 FAN_OUT = 8
@@ -36,7 +37,7 @@ def definition_edges(chunks: DataFrame) -> DataFrame:
 
 
 def resolve(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """(src, target, dst, how): every reference label resolved to a chunk: itself, else its nearest ancestor, else up to FAN_OUT children.
+    """(src, target, dst, how): every reference label resolved to a chunk: itself, else its nearest ancestor, else up to FAN_OUT chunks below it, level by level.
 
     A label of a section that was split means its first part; references of a chunk to itself vanish; labels are
     compared without case, blanks at the ends and full stops at the end.
@@ -51,7 +52,19 @@ def resolve(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     rest = asked.withColumnRenamed("label", "target").join(up.select("doc_id", "src", "target"), ["doc_id", "src", "target"], "left_anti")
     tree = sections.select("doc_id", label_key(F.col("section_id")).alias("target"), F.posexplode("children").alias("at", "child")).select("doc_id", "target", "at", label_key(F.col("child")).alias("label"))
     tree = tree.groupBy("doc_id", "target", "label").agg(F.min("at").alias("at"))
-    below = top_k(rest.join(tree, ["doc_id", "target"]).join(held, ["doc_id", "label"]), ["doc_id", "src", "target"], [F.col("at"), F.col("label")], FAN_OUT, "n")
+    # Breadth first: a child that is no chunk gives way to its own children, in order of depth and position.
+    front = rest.select("doc_id", "target").distinct().select("doc_id", "target", F.col("target").alias("node"), F.array().cast("array<int>").alias("path"), F.array("target").alias("passed"))
+    met = None
+    while True:
+        step = front.join(tree.select("doc_id", F.col("target").alias("node"), "at", "label"), ["doc_id", "node"]).where(~F.array_contains("passed", F.col("label")))
+        step = step.join(held, ["doc_id", "label"], "left").select("doc_id", "target", "label", "dst", F.array_append("path", F.col("at")).alias("path"), F.array_append("passed", F.col("label")).alias("passed"))
+        step = staged(step, "graph_below")
+        met = step.where("dst is not null") if met is None else met.unionByName(step.where("dst is not null"))
+        front = step.where("dst is null").select("doc_id", "target", F.col("label").alias("node"), "path", "passed")
+        if front.isEmpty():
+            break
+    met = met.groupBy("doc_id", "target", "label", "dst").agg(F.min(F.struct(F.size("path").alias("depth"), "path")).alias("at"))
+    below = rest.join(top_k(met, ["doc_id", "target"], [F.col("at"), F.col("label")], FAN_OUT, "n"), ["doc_id", "target"])
     down = below.select("doc_id", "src", "own", "target", "label", "dst", F.lit("below").alias("how"))
     return above.unionByName(down).where("label <> own and dst <> src").select("src", "target", "dst", "how").distinct()
 

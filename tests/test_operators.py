@@ -209,6 +209,14 @@ def test_token_batches_cover_all(spark):
     assert all(sum(v) <= 100 or len(v) == 1 for v in sums.values()) and all(len(v) <= 5 for v in sums.values()) and len({b for b, _ in sums}) == 4
 
 
+def test_references_reach_below_containers(spark):
+    rows = [("d__sec_1", "d", "1", 1, ["ART-5"], [], [], [], [], "one", at(1)), *[(f"d__sec_{x}", "d", x, 1, [], [], [], [], [], "x", at(1)) for x in ("5.2", "5.1.1", "5.3.1.1")]]
+    tree = [("d", "ART-5", ["5.1", "5.2", "5.3"]), ("d", "5.1", ["5.1.1", "ART-5"]), ("d", "5.3", ["5.3.1"]), ("d", "5.3.1", ["5.3.1.1"])]
+    sections = spark.createDataFrame(tree, "doc_id string, section_id string, children array<string>")
+    got = {(r.dst, r.how) for r in graph.resolve(spark.createDataFrame(rows, GRAPH), sections).collect()}
+    assert got == {("d__sec_5.2", "below"), ("d__sec_5.1.1", "below"), ("d__sec_5.3.1.1", "below")}
+
+
 def test_roster(spark):
     assert roster.clean_company("NORTHPHARMACEUTICALSINC") == "North Pharmaceuticals INC" and roster.clean_company("BrightTherapeuticsInc") == "Bright Therapeutics INC"
     m = spark.createDataFrame([("doc_1", "NORTHPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t"), ("doc_2", "acmeworks-Development And Option Agreement.txt", "t"), (None, "x.txt", "t"), ("doc_1", "NORTHPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t")], "doc_id string, source_file string, title string")
