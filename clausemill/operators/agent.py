@@ -101,7 +101,7 @@ def answer(questions: DataFrame, chunks: DataFrame, entries: DataFrame, model: M
     direct = active.where("doc_id is not null").select("query_id", "doc_id", F.posexplode("sections").alias("pos", "section_id"))
     base = chunks.select("doc_id", "chunk_id", F.regexp_replace("section_id", r"__p\d+$", "").alias("section_id"), F.coalesce("part", F.lit(1)).alias("part"))
     looked = direct.join(base, ["doc_id", "section_id"]).groupBy("query_id", "pos").agg(F.min_by("chunk_id", "part").alias("chunk_id"))
-    found = retrieval.bm25(active, chunks, "chunk_id", T.indexed_text(), retrieval.TOP_K)
+    found = retrieval.bm25(active, chunks, "chunk_id", T.indexed_text(), retrieval.TOP_K, group=F.col("doc_id"))
     first = looked.select("query_id", F.col("pos").cast("long").alias("seq"), "chunk_id", F.lit("direct_lookup").alias("source")).unionByName(
         found.select("query_id", (F.col("rank") + 1000).cast("long").alias("seq"), F.col("key").alias("chunk_id"), F.lit("search").alias("source"))
     )

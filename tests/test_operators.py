@@ -277,6 +277,14 @@ def test_agent_follows_edges(spark):
     assert agent.answer(q.limit(0), chunks, entries).questions.collect() == []
 
 
+def test_agent_searches_the_named_agreement(spark):
+    rows = [(f"{d}__sec_{k}", d, str(k), "Payment", "When is payment due? Payment is due now." if d == "e" else "A fee for payment.", 1, [], [], []) for d in ("d", "e") for k in range(1, 9)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, section_id string, section_title string, text string, part int, cross_reference_ids array<string>, defined_terms_used array<string>, definition_ids array<string>")
+    entries = spark.createDataFrame([("d", "Acmeworks INC", "Agreement", "t")], "doc_id string, company string, kind string, title string")
+    q = spark.createDataFrame([("q1", "When is Acmeworks payment due?")], "query_id string, raw_query string")
+    assert {r.chunk_id[0] for r in agent.answer(q, chunks, entries).context.collect()} == {"d"}
+
+
 def test_formats(spark):
     row = spark.createDataFrame([("p", "t", "b"), (None, "", "b"), ("p", None, None)], "path string, section_title string, text string").select(T.embedding_text().alias("e")).collect()
     assert [r.e for r in row] == ["p t\n\nb", "b", "p\n\n"]
