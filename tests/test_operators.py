@@ -226,6 +226,12 @@ def test_roster(spark):
     assert {(x.query_id, x.doc_id) for x in roster.resolve(q, r).collect()} == {("a", "doc_2"), ("b", "doc_1"), ("c", "doc_2")}
 
 
+def test_names_of_many_words(spark):
+    e = spark.createDataFrame([("d1", "The Bank Of New York Mellon Trust Company", "Agreement", "t"), ("d0", "Mellon Foods", "Agreement", "t")], "doc_id string, company string, kind string, title string")
+    q = spark.createDataFrame([("a", "What does The Bank of New York Mellon Trust Company owe?"), ("b", "Mellon Foods")], "query_id string, raw_query string")
+    assert {(x.query_id, x.doc_id, x.rule) for x in roster.resolve(q, e).collect()} == {("a", "d1", 2), ("b", "d0", 2)}
+
+
 def test_traces(spark):
     u = spark.createDataFrame([("q", 2, "b", "confidence", "high"), ("q", 1, "a", "confidence", "low"), ("q", 3, "c", "secret", "x"), ("q", 2, "b", "confidence", "high"), ("r", 1, "a", "error", None)], "query_id string, seq long, node string, key string, value string")
     got = {r.query_id: (r.fields, r.last_node) for r in traces.merged(u).collect()}
