@@ -115,7 +115,8 @@ def clues(text: str) -> tuple[list[tuple[str, int, int, str]], list[str], set[in
     if "\n" not in text and "\r" not in text:
         return [], [text], set(), []
     lines = lines_of(text)
-    if all(_ended(x) for x in lines if x.strip()):  # each line ends as a sentence does: no page breaks into one, no word is cut
+    # Each line ends as a sentence does and none is just the name of a company: no page breaks into one, no word is cut.
+    if all(_ended(x) and _COMPANY.sub("", x.strip()).strip() for x in lines if x.strip()):
         return [], lines, set(), []
     full = sorted(len(x.rstrip()) for x in lines if x.strip())
     width = next((n for n in reversed(full) if n <= full[len(full) * 3 // 4] + 10), 0) if full else 0

@@ -324,6 +324,12 @@ def test_scanning_noise(spark):
     assert scanned.found(none, sections).collect() == []
 
 
+def test_company_header_between_whole_sentences():
+    heads, _, _, _ = scanned.clues("The goods are delivered to the warehouse of the Customer in time.\nOrion Systems Inc.\nThe Customer pays the price of the goods within thirty days.")
+    assert [h[0] for h in heads] == ["@"] or [h[0] for h in heads] == ["orion systems inc."]
+    assert scanned.clues("The goods are here.\nThe price is paid.")[0] == []
+
+
 def test_bars_at_the_ends_of_words(spark):
     sections = spark.createDataFrame([("PAYMENT TERMS",)], "title string")
     sound = "The license shall hold and the parties will keep the goods."
