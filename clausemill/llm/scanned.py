@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from clausemill.operators.joins import salted_join
 from clausemill.sources.tables import staged
 
-#: A line counts as running furniture from so many chunks that hold it, fuzzily; a word as misread if the word it is misread from is so many times as frequent.
-REPEATS, TIMES = 4, 12
+#: A line counts as running furniture if a part of it repeats at so many places, so large a part of them in the middle of a sentence; a word as misread if the
+#: word it is misread from is so many times as frequent; a word follows numbers if so large a part of its uses do.
+REPEATS, BROKEN, TIMES, NUMBERED = 4, 0.4, 12, 0.2
 #: So many of the most frequent sound words are sent to all workers, to leave them out early; the result does not depend on it.
 FREQUENT = 20_000
-LONGEST = 40
+#: Signs of the beginnings and ends by which lines are compared, and words of a line that is compared by their number and its last word.
+ENDS, FEW = (5, 8, 12, 20), 4
 
 _ROMAN = r"(?=[ivxlcIVXLC])[xX]{0,3}(?:[iI][xXvV]|[vV]?[iI]{0,3}|[lLcC][xXvViI]{0,6})"
 _NUMBER = rf"(?:\d{{1,4}}|{_ROMAN}|[A-Z]-\d{{1,4}})"
@@ -30,17 +32,19 @@ _PAGE_TAIL = re.compile(rf"(?:[ \t ]{{2,}}|\t)(?:{_PAGE_WORD}[ \t ]*\|?[ \t ]
 _PLAIN = str.maketrans("АВЕКМНОРСТУХЅІЈаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡ", "ABEKMHOPCTYXSIJaeopcyxsijABEZHIKMNOPTYXog", "­​‌‍⁠﻿")
 _HEADING = re.compile(r"^\s*(?:(?:ARTICLE|SECTION|CLAUSE)\s+[\dIVXLC]+\b|\d+(?:\.\d+)*\.?\s+\S|\([a-zA-Z]{1,5}\)|\([ivx]+\))", re.IGNORECASE)
 _TABLE = re.compile(r"\S(?: {2,}|\t)\S.*\S(?: {2,}|\t)\S")
-_MONTH = re.compile(r"\b(?:january|february|march|april|may|june|july|august|september|october|november|december)\b")
 _SPACED = re.compile(r"^(?:\S )+\S$")
-_COMPANY = re.compile(r"^(?:\S+ ){1,2}(?:LLC|Ltd|LTD|Inc\.|INC\.|Corp\.|CORP\.|Group|GROUP|Partners|PARTNERS)(?= |\t|$)|(?<=^Source: )(?:\S+ ){1,2}(?:LLC|LTD|INC\.|CORP\.|GROUP|PARTNERS)(?=,)")
-_CUT = re.compile(r"([^\W\d_]+)([-¬‐])[ \t]*$")
 _HEAD = re.compile(r"^[ \t]*([^\W\d_]+)")
 #: A word, and the bars and exclamation marks at its ends, which may be misread letters of it.
 _LETTERS = re.compile(r"([|!]{0,3})([^\W_]+(?:[|!][^\W_]+)*)([|!]{0,3})")
+_LONG_WORD = re.compile(r"[^\W\d_]{4,}")
+_BLANKS, _DIGITS_RUN = re.compile(r"[ \t\xa0]+"), re.compile(r"\d+")
 _COMPOUND = re.compile(r"[^\W\d_]+-[^\W\d_]+")
-#: A number in which letters stand for digits, with a digit beside them, or only such letters where the words after or the signs before ask for a number.
+#: A number in which letters stand for digits, with a digit beside them; a group of such letters in a sum of money.
 _MIXED = re.compile(r"(?<![\w\-/.])(?:€|\$)?(?=[\dOIlS|,]*[OIlS|])(?=[\dOIlS|,]*\d)[\dOIlS|]+(?:,[\dOIlS|]{3})*(?![\w\-/|])")
-_LETTERED = re.compile(r"(?<![\w\-/.])[OIlS|]{2,3}(?= (?:days|months|units|times|weeks|years|business|consecutive)\b)|(?<=[€$])[OIlS|]+(?=,\d)|(?<=\d,)[OIlS|]{3}(?![\w])")
+_GROUP = re.compile(r"(?<=[€$])[OIlS|]+(?=,\d)|(?<=\d,)[OIlS|]{3}(?![\w])")
+#: Only such letters, and the word after them; a number and the word after it.
+_LETTERED = re.compile(r"(?<![\w\-/.§|])([OIlS|]{2,4})(?=[ \n]([a-z]+)\b)")
+_COUNTED = re.compile(r"(?<![\w\-/.])\d[\d,]*\s+([a-z]+)\b")
 
 
 def lines_of(text: str) -> list[str]:
@@ -48,25 +52,25 @@ def lines_of(text: str) -> list[str]:
 
 
 def line_key(line: str) -> str:
-    """A line as it is compared with others: without page number, decoration, letter spacing, digits and case, and with names of companies masked."""
-    s = _PAGE_TAIL.sub("", line.translate(_PLAIN)).strip(" \t |*~-–—[]")
+    """A line as it is compared with others: without page number, decoration, letter spacing, digits and case."""
+    s = _plain(line)
+    tail = _tail(s)
+    s = (s[: tail.start()] if tail else s).strip(" \t\xa0|*~-–—[]")
     if "   " in s:
         words = re.split(r" {3,}", s)
         if all(_SPACED.match(w) or len(w) == 1 for w in words):
             s = " ".join(w.replace(" ", "") for w in words)
-    s = re.sub(r"[ \t ]+", " ", _COMPANY.sub("@", s)).lower()
-    s = re.sub(r"^confidential - | \(continued\)$", "", s)
-    return re.sub(r"\d+", "#", s)
+    return _DIGITS_RUN.sub("#", _BLANKS.sub(" ", s).lower() if "  " in s or "\t" in s or "\xa0" in s else s.lower())
 
 
-def pattern_of(key: str) -> str:
-    """The key with names, kinds of agreement, months and file codes masked too: what repeats across agreements."""
-    s = re.sub(r"^[^/]{3,60} / ", "@ / ", key)
-    s = re.sub(r"^.{3,60} privileged and confidential$", "@ privileged and confidential", s)
-    s = re.sub(r"^source: .{3,60}, #-k,", "source: @, #-k,", s)
-    s = re.sub(r"^(schedule [a-z#]+ to the )?(@ / )?(\S+ \S+ (?=\S+ \S+ agreement$)|@ )?(?:\S+ ){1,3}agreement$", lambda m: f"{'schedule to ' if m[1] else ''}{m[2] or ''}{'@ ' if m[3] else ''}% agreement", s)
-    s = _MONTH.sub("month", s)
-    return re.sub(r"^[a-z]{2,12}-#(?:\.#)?$", "code-#", s)
+def parts_of(key: str) -> list[str]:
+    """By what a line repeats fuzzily: its beginnings and ends of a few lengths, and, if it is short, its number of words with the last one.
+
+    Two lines of which one has another name, date, kind or misread letter still agree in one of them.
+    """
+    words = key.split(" ")
+    out = [f"<{key[:n]}" for n in ENDS if len(key) >= n] + [f">{key[-n:]}" for n in ENDS if len(key) >= n]
+    return out + [f"{len(words)} {words[-1]}"] if len(words) <= FEW else out
 
 
 def _plain(line: str) -> str:
@@ -83,16 +87,29 @@ def _ended(line: str) -> bool:
     return line.rstrip().rstrip("”’\"')]")[-1:] in (".", ";", ":", ",")
 
 
-def _cut(line: str) -> re.Match | None:
-    """The first part of a word cut at the line's end."""
-    return _CUT.search(line, max(0, len(line) - 80)) if line.rstrip()[-1:] in ("-", "¬", "‐") else None
+def _cut(line: str) -> tuple[str, str, int] | None:
+    """The first part of a word cut at the line's end, the mark, and where the mark stands."""
+    at = len(line.rstrip(" \t")) - 1
+    if at < 1 or line[at] not in "-¬‐":
+        return None
+    start = at
+    while start and line[start - 1].isalpha():
+        start -= 1
+    return (line[start:at], line[at], at) if start < at else None
+
+
+def width_of(lines: list[str]) -> int:
+    """The width that lines are wrapped at: the longest, leaving out the few that stand far beyond three quarters of them."""
+    full = sorted(len(x.rstrip()) for x in lines if x.strip())
+    return next((n for n in reversed(full) if n <= full[len(full) * 3 // 4] + 10), 0) if full else 0
 
 
 def page_edge(lines: list[str], k: int, width: int) -> bool:
-    """Whether line k may be furniture: short of the line width or with a page number, not ended as a sentence, and neither heading nor table."""
+    """Whether line k may be furniture: it ends short of the line width, so that the text did not wrap there, or has a page number, and is
+    neither heading nor table nor text: most of its longer words begin with a capital."""
     line = lines[k]
     s = line.strip()
-    if len(s) < 4 or len(s) > 120 or s[0].islower():
+    if len(s) < 3 or s[0].islower():
         return False
     tail = _tail(line)
     if not tail:
@@ -101,7 +118,10 @@ def page_edge(lines: list[str], k: int, width: int) -> bool:
         after = next((x.split(None, 1)[0] for x in lines[k + 1 : k + 6] if x.strip()), "")
         if len(line.rstrip()) + 1 + len(after) > width:
             return False
-    if _HEADING.match(s) or (_ended(s) and _COMPANY.sub("", s).strip() != ""):
+    if _HEADING.match(s) or s[-1] in ";:,":
+        return False
+    long = _LONG_WORD.findall(s)
+    if 2 * sum(x[0].islower() for x in long) > len(long):
         return False
     if _TABLE.search(s[: tail.start()] if tail else s) and not re.search(r"\t|^\S(?: \S)+ {3,}", s):
         cells = re.split(r" {2,}", s)
@@ -111,26 +131,27 @@ def page_edge(lines: list[str], k: int, width: int) -> bool:
 
 
 def clues(text: str) -> tuple[list[tuple[str, int, int, str]], list[str], set[int], list[tuple[str, str, str]]]:
-    """What a text shows by itself: furniture candidates (key, has page number, breaks a sentence, words around), lines, page-number lines, cut words (left, mark, right)."""
+    """What a text shows by itself: furniture candidates (key, has page number, breaks a sentence, words around), lines, page-number lines, cut words (left, mark, right).
+
+    A line breaks a sentence if the line before has not ended one; one that ends as a sentence itself, as names of companies do, also needs
+    a small letter after it, since it may be the end of that sentence.
+    """
     if "\n" not in text and "\r" not in text:
         return [], [text], set(), []
     lines = lines_of(text)
-    # Each line ends as a sentence does and none is just the name of a company: no page breaks into one, no word is cut.
-    if all(_ended(x) and _COMPANY.sub("", x.strip()).strip() for x in lines if x.strip()):
-        return [], lines, set(), []
-    full = sorted(len(x.rstrip()) for x in lines if x.strip())
-    width = next((n for n in reversed(full) if n <= full[len(full) * 3 // 4] + 10), 0) if full else 0
+    width = width_of(lines)
     pages, heads, low = set(), [], []
     for k, line in enumerate(lines):
         if not line or line.isspace():
             continue
-        if len(line) <= 120 and len(t := _plain(line).strip()) <= 24 and _PAGE_LINE.match(t):
+        if _PAGE_LINE.match(_plain(line).strip()):
             pages.add(k)
         elif page_edge(lines, k, width):
             before = next((lines[j].rstrip() for j in range(k - 1, -1, -1) if lines[j].strip() and j not in pages), None)
-            after = next((x for x in lines[k + 1 :] if x.strip()), "")
+            after = next((x.lstrip() for x in lines[k + 1 :] if x.strip()), "")
+            broken = before is not None and not _ended(before) and (not _ended(line) or after[:1].islower())
             around = f"{before.split()[-1] if before else ''} {after.split()[0] if after else ''}"
-            heads.append((line_key(line), int(bool(_tail(line))), int(before is not None and not _ended(before)), around))
+            heads.append((line_key(line), int(bool(_tail(line))), int(broken), around))
             low.append(k)
     skip, cuts = pages | set(low), []
     for k, line in enumerate(lines):
@@ -142,7 +163,7 @@ def clues(text: str) -> tuple[list[tuple[str, int, int, str]], list[str], set[in
             if not lines[j].strip() or j in skip:
                 continue
             if n := _HEAD.match(lines[j]):
-                cuts.append((m[1], m[2], n[1]))
+                cuts.append((m[0], m[1], n[1]))
             break
     return heads, lines, pages, cuts
 
@@ -155,7 +176,7 @@ def body_of(lines: list[str], pages: set[int]) -> str:
             continue
         body = _HEAD.sub("", line, count=1) if after_cut else line
         m = _cut(body)
-        kept.append(body[: m.start()] if m else body)
+        kept.append(body[: m[2] - len(m[0])] if m else body)
         after_cut = bool(m)
     return " ".join(kept)
 
@@ -179,7 +200,16 @@ class _Tally:
     def add(self, text: str) -> None:
         heads, lines, pages, _ = clues(text)
         for key, _, broken, around in set(heads):
-            self.lines["broken" if broken else "line", f"{pattern_of(key)}\t{around}"] += 1
+            self.lines["broken" if broken else "edge", f"={key}\t{around}"] += 1
+            for part in parts_of(key):
+                self.lines["broken" if broken else "edge", f"{part}\t{around}"] += 1
+        if len(lines) > 1:
+            for k, line in enumerate(lines):
+                if line.strip() and k not in pages:
+                    for part in parts_of(line_key(line)):
+                        self.lines["all", part] += 1
+        for word in _COUNTED.findall(text):
+            self.lines["numbered", word] += 1
         self.units.update((body_of(lines, pages) if pages or heads or len(lines) > 1 else text).split())
 
     def full(self) -> bool:
@@ -188,23 +218,22 @@ class _Tally:
     def give(self) -> pa.RecordBatch:
         out = self.lines
         for unit, n in self.units.items():
-            if len(unit) <= 4 * LONGEST:
-                if unit.isalpha() and len(unit) <= LONGEST:
-                    out["word", unit.lower()] += n
-                    continue
-                for w in words_in(unit):
-                    if len(w) <= LONGEST and not w.isdigit():
-                        out["word", w.lower()] += n
-                if "-" in unit:
-                    for w in _COMPOUND.findall(unit):
-                        if len(w) <= LONGEST:
-                            out["compound", w.lower()] += n
+            if unit.isalpha():
+                out["word", unit.lower()] += n
+                continue
+            for w in words_in(unit):
+                if not w.isdigit():
+                    out["word", w.lower()] += n
+            if "-" in unit:
+                for w in _COMPOUND.findall(unit):
+                    out["compound", w.lower()] += n
         self.__init__()
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([x for _, x in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["kind", "key", "n"])
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
-    """(kind, key, n) over the whole corpus: words, hyphenated compounds, and how often each furniture candidate stands between the same words."""
+    """(kind, key, n) over the whole corpus: words, hyphenated compounds, words after numbers, how often each part of a line stands at all, and how
+    often each furniture candidate and each part of it stands between the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
@@ -248,21 +277,23 @@ def _clue_rows(chunks: DataFrame, frequent: list[str]) -> DataFrame:
                 heads, lines, pages, cuts = clues(text)
                 if pages:
                     rows.append((chunk_id, "page", "", "", 0, 1))
-                rows += [(chunk_id, "line", key, pattern_of(key), broken, paged) for key, paged, broken, _ in set(heads)]
+                rows += [(chunk_id, "line", key, "", 0, paged) for key, paged in {(key, paged) for key, paged, _, _ in heads}]
                 rows += [(chunk_id, "cut", (a + b).lower(), f"{a}-{b}".lower(), int(mark == "-"), 0) for a, mark, b in set(cuts)]
-                if any(c in text for c in "OIlS|") and (_MIXED.search(text) or _LETTERED.search(text)):
-                    rows.append((chunk_id, "number", "", "", 0, 0))
+                if any(c in text for c in "OIlS|"):
+                    if _MIXED.search(text) or _GROUP.search(text):
+                        rows.append((chunk_id, "number", "", "", 0, 0))
+                    rows += [(chunk_id, "lettered", w, "", 0, 0) for w in {w for _, w in _LETTERED.findall(text)}]
                 odd = set()
                 body = body_of(lines, pages) if len(lines) > 1 else text
                 for unit in set(body.split()):
                     got = memo.get(unit)
                     if got is None:
-                        got = tuple(w for x in words_in(unit) if len(x) <= LONGEST and not x.isdigit() and (w := x.lower()) not in known) if len(unit) <= 4 * LONGEST else ()
+                        got = tuple(w for x in words_in(unit) if not x.isdigit() and (w := x.lower()) not in known)
                         if len(memo) > 300_000:
                             memo.clear()
                         memo[unit] = got
                     odd.update(got)
-                odd.update(x for a, _, b in cuts if len(x := (a + b).lower()) <= LONGEST and x not in known)
+                odd.update(x for a, _, b in cuts if (x := (a + b).lower()) not in known)
                 rows += [(chunk_id, "word", w, "", 0, 0) for w in odd]
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:])], names=["chunk_id", "kind", "key", "other", "flag", "paged"])
@@ -271,22 +302,37 @@ def _clue_rows(chunks: DataFrame, frequent: list[str]) -> DataFrame:
 
 
 def furniture(stats: DataFrame, chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """(pattern): lines that repeat over the corpus, stand in the middle of sentences at least now and then, and are no clause title."""
-    titles = chunks.select(F.col("section_title").alias("t")).union(sections.select("title")).where("t is not null").groupBy(F.regexp_replace(F.lower(F.trim("t")), r"\d+", "#").alias("pattern")).agg(F.lit(1).alias("one")).select("pattern")
+    """(part): lines (`=` and the whole line), beginnings, ends and short shapes of lines that repeat at page edges all over the corpus.
+
+    They stand at REPEATS different places at least, and BROKEN of all lines that have them stand at a page edge in the middle of a sentence;
+    clause titles are left out.
+    """
+    titles = chunks.select(F.col("section_title").alias("t")).union(sections.select("title")).where("t is not null").groupBy(F.concat(F.lit("="), F.regexp_replace(F.lower(F.trim("t")), r"\d+", "#")).alias("part")).agg(F.lit(1).alias("one")).select("part")
     # Copies of one clause repeat its lines between the same words; only different places count.
-    seen = stats.where("kind in ('line', 'broken')").groupBy(F.split_part("key", F.lit("\t"), F.lit(1)).alias("pattern")).agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "broken", 1)).alias("broken"))
-    return seen.where((F.col("n") >= REPEATS) & (F.col("broken") >= 0.2 * F.col("n"))).join(titles, "pattern", "left_anti").select("pattern")
+    part, first = F.split_part("key", F.lit("\t"), F.lit(1)), F.col("kind") == "broken"
+    seen = stats.where("kind in ('edge', 'broken')").groupBy(part.alias("part")).agg(F.count("*").alias("places"), F.sum("n").alias("n"), F.count(F.when(first, 1)).alias("broken_places"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("broken"))
+    often = seen.where((F.col("places") >= REPEATS) & (F.col("broken_places") >= BROKEN * F.col("places")))
+    every = stats.where("kind = 'all'").select(F.col("key").alias("part"), F.col("n").alias("n_all"))
+    edges = often.join(every, "part", "left").where(F.col("broken") >= BROKEN * F.coalesce("n_all", "n"))
+    return edges.join(titles, "part", "left_anti").select("part")
 
 
-def headers(seen: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(chunk_id, key, paged): running headers and footers among the candidates: their pattern repeats, or the line is the start of
-    one that does, cut short by the scan, and has a page number or breaks a sentence."""
-    lines = seen.where("kind = 'line'")
-    whole = salted_join(lines.withColumnRenamed("other", "pattern"), patterns, "pattern", "chunk_id")
-    heads = whole.select("key").distinct().where(F.length("key").between(6, 60))
-    starts = heads.select(F.explode(F.transform(F.sequence(F.lit(5), F.length("key") - 1), lambda n: F.rtrim(F.substring("key", 1, n)))).alias("key")).distinct()
-    cut = salted_join(lines.where("paged = 1 or flag = 1"), starts, "key", "chunk_id")
-    return whole.select("chunk_id", "key", "paged").union(cut.select("chunk_id", "key", "paged"))
+def headers(seen: DataFrame, parts: DataFrame) -> DataFrame:
+    """(chunk_id, key, paged): running headers and footers: the candidates that repeat as a whole or in a part (see `parts_of`); a line
+    cut short by the scan still has the beginning."""
+    lines = seen.where("kind = 'line'").select("chunk_id", "key", "paged")
+    keys = lines.select("key").distinct()
+    split = F.udf(lambda key: ["=" + key, *parts_of(key)], "array<string>", useArrow=True)
+    known = staged(keys.select("key", F.explode(split("key")).alias("part")).join(parts, "part", "left_semi").select("key").distinct(), "p2_header_keys")
+    return salted_join(lines, known, "key", "chunk_id")
+
+
+def lettered(seen: DataFrame, stats: DataFrame) -> DataFrame:
+    """(chunk_id, word): letters that stand for digits before a word that the corpus writes after numbers."""
+    after = stats.where("kind = 'numbered'").select(F.col("key").alias("word"), F.col("n").alias("numbered"))
+    words = stats.where("kind = 'word'").select(F.col("key").alias("word"), "n")
+    counted = after.join(words, "word").where(F.col("numbered") >= NUMBERED * F.col("n")).select("word")
+    return salted_join(seen.where("kind = 'lettered'").select("chunk_id", F.col("key").alias("word")), counted, "word", "chunk_id")
 
 
 def hyphens(seen: DataFrame, stats: DataFrame) -> DataFrame:
@@ -311,7 +357,7 @@ def hyphens(seen: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def evidence(chunks: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(clues of each chunk, corpus statistics, furniture patterns, misread words), all over the whole corpus."""
+    """(clues of each chunk, corpus statistics, repeated parts of lines, misread words), all over the whole corpus."""
     stats = staged(statistics(chunks), "p2_stats")
     misread = staged(misread_words(stats), "p2_misread")
     top = stats.where("kind = 'word'").join(misread, stats["key"] == misread["word"], "left_anti").orderBy(F.desc("n"), "key").limit(FREQUENT).select("key")
@@ -325,13 +371,13 @@ def found(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     Null texts and rows without chunk_id give none; one-line texts can only have misread characters; repeated rows count
     once; empty tables give no rows; extra columns are ignored. Words that many chunks hold are joined in salted parts.
     """
-    seen, stats, patterns, misread = evidence(chunks, sections)
-    heads = staged(headers(seen, patterns), "p2_heads")
+    seen, stats, repeated, misread = evidence(chunks, sections)
+    heads = staged(headers(seen, repeated), "p2_heads")
     parts = {
         "header": heads.select("chunk_id"),
         "page_no": seen.where("kind = 'page'").select("chunk_id").union(heads.where("paged = 1").select("chunk_id")),
         "hyphen": hyphens(seen, stats),
-        "chars": salted_join(seen.where("kind = 'word'").withColumnRenamed("key", "word"), misread, "word", "chunk_id").select("chunk_id").union(seen.where("kind = 'number'").select("chunk_id")),
+        "chars": salted_join(seen.where("kind = 'word'").withColumnRenamed("key", "word"), misread, "word", "chunk_id").select("chunk_id").union(seen.where("kind = 'number'").select("chunk_id")).union(lettered(seen, stats).select("chunk_id")),
     }
     out = None
     for noise, rows in parts.items():
@@ -343,15 +389,14 @@ def found(chunks: DataFrame, sections: DataFrame) -> DataFrame:
 _DIGITS = str.maketrans("OIlS|", "01151")
 
 
-def repair(text: str, furniture_keys: set[str], joined: set[str], repaired: dict[str, str]) -> str:
+def repair(text: str, furniture_keys: set[str], joined: set[str], repaired: dict[str, str], counted: set[str] = frozenset()) -> str:
     """The text without furniture and page numbers, with cut words joined, misread words and numbers set right and wrapped lines run together.
 
     A line goes on into the next only if it is full, that is if the next word would not have fitted; other line ends,
     empty lines, headings and list items stay.
     """
     heads, lines, pages, _ = clues(text)
-    full = sorted(len(x.rstrip()) for x in lines if x.strip())
-    width = next((n for n in reversed(full) if n <= full[len(full) * 3 // 4] + 10), 0) if full else 0
+    width = width_of(lines)
     kept: list[str] = []
     dropped = False
     for k, line in enumerate(lines):
@@ -371,8 +416,8 @@ def repair(text: str, furniture_keys: set[str], joined: set[str], repaired: dict
             out.append(line)
             continue
         m, n = _cut(out[-1]), _HEAD.match(line)
-        if m and n and (m[1] + n[1]).lower() in joined:
-            out[-1] = out[-1][: m.end(1)] + line.lstrip()
+        if m and n and (m[0] + n[1]).lower() in joined:
+            out[-1] = out[-1][: m[2]] + line.lstrip()
         elif m and n:
             out[-1] = out[-1].rstrip() + line.lstrip()
         elif len(kept[k - 1]) + 1 + len(line.split(None, 1)[0]) > width and len(kept) > 1:
@@ -392,29 +437,32 @@ def repair(text: str, furniture_keys: set[str], joined: set[str], repaired: dict
     body = "\n".join(out)
     if repaired:
         body = _LETTERS.sub(right, body)
-    for numbers in (_MIXED, _LETTERED):
+    for numbers in (_MIXED, _GROUP):
         body = numbers.sub(lambda m: m[0].translate(_DIGITS), body)
+    if counted:
+        body = _LETTERED.sub(lambda m: m[1].translate(_DIGITS) if m[2] in counted else m[1], body)
     return body.strip("\n")
 
 
 def repaired_texts(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """(chunk_id, repaired) of every chunk whose text carries scanning noise, as continuous paragraphs; nulls and repeats as in `found`."""
-    seen, stats, patterns, misread = evidence(chunks, sections)
-    heads = headers(seen, patterns).select("chunk_id", F.lit("line").alias("kind"), "key", F.lit("").alias("to"))
+    seen, stats, repeated, misread = evidence(chunks, sections)
+    heads = headers(seen, repeated).select("chunk_id", F.lit("line").alias("kind"), "key", F.lit("").alias("to"))
     cuts = hyphens(seen, stats).select("chunk_id", F.lit("cut").alias("kind"), F.col("joined").alias("key"), F.lit("").alias("to"))
     words = salted_join(seen.where("kind = 'word'").withColumnRenamed("key", "word"), misread, "word", "chunk_id").select("chunk_id", F.lit("word").alias("kind"), F.col("word").alias("key"), F.col("repaired").alias("to"))
     rest = seen.where("kind in ('page', 'number')").select("chunk_id", "kind", "key", F.lit("").alias("to"))
-    marks = heads.union(cuts).union(words).union(rest).distinct().groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "key", "to")).alias("marks"))
+    numbers = lettered(seen, stats).select("chunk_id", F.lit("lettered").alias("kind"), F.col("word").alias("key"), F.lit("").alias("to"))
+    marks = heads.union(cuts).union(words).union(numbers).union(rest).distinct().groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "key", "to")).alias("marks"))
     texts = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, marks_of in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                by: dict[str, dict[str, str]] = {"line": {}, "cut": {}, "word": {}, "page": {}, "number": {}}
+                by: dict[str, dict[str, str]] = {"line": {}, "cut": {}, "word": {}, "page": {}, "number": {}, "lettered": {}}
                 for m in marks_of:
                     by[m["kind"]][m["key"]] = m["to"]
-                out.append(repair(text, set(by["line"]), set(by["cut"]), by["word"]))
+                out.append(repair(text, set(by["line"]), set(by["cut"]), by["word"], set(by["lettered"])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["chunk_id", "repaired"])
 
     return texts.join(marks, "chunk_id").groupBy("chunk_id").agg(F.min("text").alias("text"), F.first("marks").alias("marks")).mapInArrow(run, "chunk_id string, repaired string")

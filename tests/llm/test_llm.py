@@ -326,8 +326,37 @@ def test_scanning_noise(spark):
 
 def test_company_header_between_whole_sentences():
     heads, _, _, _ = scanned.clues("The goods are delivered to the warehouse of the Customer in time.\nOrion Systems Inc.\nThe Customer pays the price of the goods within thirty days.")
-    assert [h[0] for h in heads] == ["@"] or [h[0] for h in heads] == ["orion systems inc."]
-    assert scanned.clues("The goods are here.\nThe price is paid.")[0] == []
+    assert [(h[0], h[2]) for h in heads] == [("orion systems inc.", 0)]
+    heads, _, _, _ = scanned.clues("The goods are delivered to the warehouse of the\nOrion Systems Inc.\nthe Customer pays the price of the goods within thirty days.")
+    assert [(h[0], h[2]) for h in heads] == [("orion systems inc.", 1)]
+
+
+def test_headers_repeat_fuzzily(spark):
+    names = ["Orion Systems", "Vertex Foods", "Kappa Energy", "Nadir Media", "Mutua1 Works", "Zeta Freight", "Astra Labs", "Borealis Tools"]
+    rows = [(f"clean{k}", page(f"Part{'abcdefgh'[k]} " + PROSE), None) for k in range(8)]
+    rows += [(f"h{k}", page(f"Item{'abcdefgh'[k]} " + PROSE, {1 + k % 3: f"{n} / Non Disclosure Deed"}, width=48 + 3 * k), None) for k, n in enumerate(names)]
+    wide = "Schedule " + " ".join(f"{w} and" for w in ("Supplies", "Services", "Premises", "Payments", "Notices", "Licences", "Records", "Insurance", "Carriage")) + " Deliveries"
+    rows += [(f"wide{k}", page(f"Term{'abcdefgh'[k]} " + PROSE, {1: wide}, width=190 + 10 * k), None) for k in range(2)]
+    rows += [(f"wide{k}", page(f"Term{'abcdefgh'[k]} and more of it " + PROSE, {1: wide}, width=190 + 9 * k), None) for k in range(2, 5)]
+    assert len(wide) > 120
+    got = {tuple(r) for r in scanned.found(chunk_rows(spark, rows), spark.createDataFrame([], "title string")).collect()}
+    assert {c for c, noise in got if noise == "header"} == {f"h{k}" for k in range(8)} | {f"wide{k}" for k in range(5)}
+
+
+def test_words_of_any_length_count(spark):
+    word = "internationalisation" * 3
+    bad = word[:20] + "0" + word[21:]
+    rows = [(f"c{k}", f"The {word} is agreed.", None) for k in range(30)] + [("bad", f"The {bad} is agreed.", None), ("cut", f"The {word[:31]}-\n{word[31:]} is agreed.", None)]
+    got = {tuple(r) for r in scanned.found(chunk_rows(spark, rows), spark.createDataFrame([], "title string")).collect()}
+    assert got == {("bad", "chars"), ("cut", "hyphen")}
+
+
+def test_letters_before_counted_words(spark):
+    rows = [(f"c{k}", f"It ends after {k + 10} fortnights and the parties agree.", None) for k in range(30)] + [("bad", "It ends after lS fortnights and the parties agree.", None), ("fine", "As to IS parties agree.", None)]
+    df = chunk_rows(spark, rows)
+    none = spark.createDataFrame([], "title string")
+    assert {tuple(r) for r in scanned.found(df, none).collect()} == {("bad", "chars")}
+    assert {r.chunk_id: r.repaired for r in scanned.repaired_texts(df, none).collect()} == {"bad": "It ends after 15 fortnights and the parties agree."}
 
 
 def test_bars_at_the_ends_of_words(spark):
