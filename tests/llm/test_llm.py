@@ -337,7 +337,7 @@ def test_headers_repeat_fuzzily(spark):
     rows += [(f"h{k}", page(f"Item{'abcdefgh'[k]} " + PROSE, {1 + k % 3: f"{n} / Non Disclosure Deed"}, width=48 + 3 * k), None) for k, n in enumerate(names)]
     wide = "Schedule " + " ".join(f"{w} and" for w in ("Supplies", "Services", "Premises", "Payments", "Notices", "Licences", "Records", "Insurance", "Carriage")) + " Deliveries"
     rows += [(f"wide{k}", page(f"Term{'abcdefgh'[k]} " + PROSE, {1: wide}, width=190 + 10 * k), None) for k in range(2)]
-    rows += [(f"wide{k}", page(f"Term{'abcdefgh'[k]} and more of it " + PROSE, {1: wide}, width=190 + 9 * k), None) for k in range(2, 5)]
+    rows += [(f"wide{k}", page(f"Term{'abcdefgh'[k]} and more of it " + PROSE, {1: wide}, width=190 + 10 * k), None) for k in range(2, 5)]
     assert len(wide) > 120
     got = {tuple(r) for r in scanned.found(chunk_rows(spark, rows), spark.createDataFrame([], "title string")).collect()}
     assert {c for c, noise in got if noise == "header"} == {f"h{k}" for k in range(8)} | {f"wide{k}" for k in range(5)}
