@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "p2_repaired": lambda s, d: scanned.repaired_texts(table(s, d, "chunks"), table(s, d, "sections")),
         "p3_found": lambda s, d: neardup.pairs(table(s, d, "chunks")),
         "p3_groups": lambda s, d: neardup.groups(table(s, d, "chunks")),
+        "p3_copies": lambda s, d: neardup.copies_of(table(s, d, "chunks")),
         "p4_found": lambda s, d: lookalikes.found(table(s, d, "chunks")),
         "p4_rewrites": lambda s, d: lookalikes.rewrites(table(s, d, "chunks")),
         "p4_unified": lambda s, d: lookalikes.unified(table(s, d, "chunks")),

@@ -260,6 +260,28 @@ def test_slices_of_a_large_block(spark, monkeypatch):
     assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == near_truth(rows)
 
 
+def test_hot_blocks_are_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKET", 40)
+    rows = near_rows() + [(f"h{k:03}", " ".join([f"w{j}" for j in range(40)] + [f"x{k}y{j}" for j in range(k % 12)]), None) for k in range(120)]
+    got = {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()}
+    assert got == near_truth(rows) and len(got) > 5000
+
+
+def test_texts_with_one_number_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "number", lambda text: F.pmod(F.xxhash64(text), F.lit(5)))
+    rows = near_rows()
+    assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == near_truth(rows)
+
+
+def test_copies_have_a_representative(spark):
+    text = " ".join(f"w{j}" for j in range(40))
+    df = chunk_rows(spark, [("b", text, None), ("a", text, None), ("a", text, None), ("c", text + " more", None), ("s", "short", None), ("t", "short", None), (None, text, None), ("n", None, None)])
+    assert sorted(tuple(r) for r in neardup.copies_of(df).collect()) == [("a", "a", 2), ("b", "a", 2)]
+    assert neardup.copies_of(df.limit(0)).collect() == []
+
+
 def test_no_link_is_missed_at_the_least_share(spark):
     rows, want = [], set()
     for k in range(600):  # 30 of 50 runs are shared: exactly 0.60
@@ -345,7 +367,7 @@ def test_headers_repeat_fuzzily(spark):
 
 def test_words_of_any_length_count(spark):
     word = "internationalisation" * 3
-    bad = word[:20] + "0" + word[21:]
+    bad = word.replace("o", "0", 1)
     rows = [(f"c{k}", f"The {word} is agreed.", None) for k in range(30)] + [("bad", f"The {bad} is agreed.", None), ("cut", f"The {word[:31]}-\n{word[31:]} is agreed.", None)]
     got = {tuple(r) for r in scanned.found(chunk_rows(spark, rows), spark.createDataFrame([], "title string")).collect()}
     assert got == {("bad", "chars"), ("cut", "hyphen")}
