@@ -78,21 +78,19 @@ def select_filings(documents: DataFrame, most: int = 15, least: int = 12_000, la
 
 
 def build_chunks(spark: SparkSession, folder: str, out: str) -> DataFrame:
-    """Parse a folder of texts into chunk lines with edges, and report on them."""
-    texts = corpus.texts(spark, folder).withColumn("name", F.col("doc_id"))
-    numbered = texts.withColumn("doc_id", F.xxhash64("name"))
-    parsed = parsing.build_chunks(numbered.select("doc_id", "text")).join(numbered.select("doc_id", "name"), "doc_id")
-    chunks = parsed.select(T.chunk_id(F.col("name"), F.col("section_id")).alias("chunk_id"), F.col("name").alias("doc_id"), *[c for c in parsed.columns if c not in ("doc_id", "name")])
-    corpus.write_chunks(chunks, out)
-    return spark.read.json(out)
+    """Parse a folder of texts into chunk lines with edges under `out`; the report on them is one row (see `graph.corpus_report`), with the dangling edges counted."""
+    corpus.write_chunks(parsing.build_chunks(corpus.texts(spark, folder)), out)
+    chunks = corpus.read_chunks(spark, out)
+    ids = chunks.select("doc_id", F.col("chunk_id").alias("src"), F.explode(F.concat("cross_reference_ids", "definition_ids")).alias("dst"))
+    return graph.corpus_report(chunks).crossJoin(F.broadcast(graph.dangling(ids, chunks).agg(F.count("*").alias("dangling"))))
 
 
 def build_index(spark: SparkSession, tables: str, path: str, dry_run: bool = False, rebuild: bool = False) -> DataFrame:
     """Bring the vectors under `path` up to date; with dry_run only say what would be done."""
     chunks = graph.current(table(spark, tables, "chunks"))
     if dry_run:
-        now = index.hashes(chunks)
-        return index.plan_summary(index.plan(now, now.limit(0)))
+        now, old = index.hashes(chunks), None if rebuild else index.stored(spark, path)
+        return index.plan_summary(index.plan(now, now.limit(0) if old is None else old))
     return index.plan_summary(index.build(spark, chunks, path, rebuild=rebuild))
 
 

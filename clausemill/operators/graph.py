@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,11 +15,19 @@ from clausemill.sources.tables import staged
 FAN_OUT = 8
 
 
-def current(chunks: DataFrame) -> DataFrame:
-    """One row per chunk_id, the first delivery; the deliveries of a chunk have the same content."""
-    columns = [c for c in chunks.columns if c != "chunk_id"]
-    first = F.min_by(F.struct(*columns), F.struct("indexed_at", "section_id"))
-    return chunks.where("chunk_id is not null").groupBy("chunk_id").agg(first.alias("c")).select("chunk_id", *[F.col(f"c.{c}").alias(c) for c in columns])
+def current(chunks: DataFrame, *columns: str) -> DataFrame:
+    """One row per chunk_id, the first delivery, with `columns` (all if none is named); the deliveries of a chunk have the same content.
+
+    Name the columns that are needed: the rows are shuffled by chunk_id, and texts weigh most.
+    """
+    wanted = [c for c in columns or chunks.columns if c != "chunk_id"]
+    first = F.min_by(F.struct(*wanted), F.struct("indexed_at", "section_id"))
+    return chunks.where("chunk_id is not null").groupBy("chunk_id").agg(first.alias("c")).select("chunk_id", *[F.col(f"c.{c}").alias(c) for c in wanted])
+
+
+def place_of(section: Column) -> Column:
+    """What sorts section labels by their numbers, 2.1 before 10.1."""
+    return F.transform(F.regexp_extract_all(section, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("long"))
 
 
 def reference_edges(chunks: DataFrame) -> DataFrame:
@@ -28,27 +36,35 @@ def reference_edges(chunks: DataFrame) -> DataFrame:
 
 
 def definition_edges(chunks: DataFrame) -> DataFrame:
-    """(doc_id, src, term, dst): a use of a term and the first chunk of the agreement that defines it, its own definitions left out."""
-    defined = chunks.select("doc_id", "chunk_id", F.explode("defines_terms").alias("term")).where(F.trim("term") != "")
-    first = defined.groupBy("doc_id", "term").agg(F.min("chunk_id").alias("dst"))
+    """(doc_id, src, term, dst): a use of a term and the first chunk of the agreement, by its numbers, that defines it, its own definitions left out."""
+    defined = chunks.select("doc_id", "chunk_id", "section_id", "part", F.explode("defines_terms").alias("term")).where(F.trim("term") != "")
+    first = defined.groupBy("doc_id", "term").agg(F.min_by("chunk_id", F.struct(place_of(F.col("section_id")), "part", "chunk_id")).alias("dst"))
     used = chunks.select("doc_id", F.col("chunk_id").alias("src"), "defines_terms", F.explode("defined_terms_used").alias("term"))
     own = F.coalesce(F.array_contains("defines_terms", F.col("term")), F.lit(False))
     return used.where(~own & (F.trim("term") != "")).select("doc_id", "src", "term").distinct().join(first, ["doc_id", "term"]).where("src <> dst").select("doc_id", "src", "term", "dst")
 
 
 def resolve(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """(src, target, dst, how): every reference label resolved to a chunk: itself, else its nearest ancestor, else up to FAN_OUT chunks below it, level by level.
+    """(src, target, dst, how): every reference label resolved to a chunk; see `resolve_labels`."""
+    asked = chunks.select("doc_id", F.col("chunk_id").alias("src"), _own().alias("own"), F.explode("cross_references").alias("label")).withColumn("label", label_key(F.col("label")))
+    return resolve_labels(asked.where("label <> ''").distinct(), chunks, sections).select("src", "target", "dst", "how").distinct()
+
+
+def _own() -> Column:
+    return label_key(F.regexp_replace("section_id", r"__p\d+$", ""))
+
+
+def resolve_labels(asked: DataFrame, chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, src, target, dst, how, n): each asked label (doc_id, src, own, label) as a chunk: itself, else its nearest ancestor, else up
+    to FAN_OUT chunks below it, level by level, n being their order.
 
     A label of a section that was split means its first part; references of a chunk to itself vanish; labels are
     compared without case, blanks at the ends and full stops at the end.
     """
-    base = F.regexp_replace("section_id", r"__p\d+$", "")
-    held = chunks.select("doc_id", label_key(base).alias("label"), "chunk_id", "part").groupBy("doc_id", "label").agg(F.min_by("chunk_id", F.struct("part", "chunk_id")).alias("dst"))
-    asked = chunks.select("doc_id", F.col("chunk_id").alias("src"), label_key(base).alias("own"), F.explode("cross_references").alias("target")).withColumn("label", label_key(F.col("target")))
-    asked = asked.where("label <> ''").select("doc_id", "src", "own", "label").distinct()
+    held = chunks.select("doc_id", _own().alias("label"), "chunk_id", "part").groupBy("doc_id", "label").agg(F.min_by("chunk_id", F.struct("part", "chunk_id")).alias("dst"))
     tried = asked.select("doc_id", "src", "own", F.col("label").alias("target"), F.posexplode(T.ancestors(F.col("label"))).alias("step", "label"))
     up = tried.join(held, ["doc_id", "label"]).groupBy("doc_id", "src", "own", "target").agg(F.min_by(F.struct("label", "dst", "step"), "step").alias("hit"))
-    above = up.select("doc_id", "src", "own", "target", F.col("hit.label").alias("label"), F.col("hit.dst").alias("dst"), F.when(F.col("hit.step") == 0, "exact").otherwise("ancestor").alias("how"))
+    above = up.select("doc_id", "src", "own", "target", F.col("hit.label").alias("label"), F.col("hit.dst").alias("dst"), F.when(F.col("hit.step") == 0, "exact").otherwise("ancestor").alias("how"), F.lit(1).alias("n"))
     rest = asked.withColumnRenamed("label", "target").join(up.select("doc_id", "src", "target"), ["doc_id", "src", "target"], "left_anti")
     tree = sections.select("doc_id", label_key(F.col("section_id")).alias("target"), F.posexplode("children").alias("at", "child")).select("doc_id", "target", "at", label_key(F.col("child")).alias("label"))
     tree = tree.groupBy("doc_id", "target", "label").agg(F.min("at").alias("at"))
@@ -65,8 +81,8 @@ def resolve(chunks: DataFrame, sections: DataFrame) -> DataFrame:
             break
     met = met.groupBy("doc_id", "target", "label", "dst").agg(F.min(F.struct(F.size("path").alias("depth"), "path")).alias("at"))
     below = rest.join(top_k(met, ["doc_id", "target"], [F.col("at"), F.col("label")], FAN_OUT, "n"), ["doc_id", "target"])
-    down = below.select("doc_id", "src", "own", "target", "label", "dst", F.lit("below").alias("how"))
-    return above.unionByName(down).where("label <> own and dst <> src").select("src", "target", "dst", "how").distinct()
+    down = below.select("doc_id", "src", "own", "target", "label", "dst", F.lit("below").alias("how"), "n")
+    return above.unionByName(down).where("label <> own and dst <> src").select("doc_id", "src", "target", "dst", "how", "n").distinct()
 
 
 def dangling(edges: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def plan_summary(planned: DataFrame, tokens_per_minute: int = 10_000) -> DataFra
 
 def upsert(old: DataFrame, new: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """The table after new rows replace old ones of the same chunk_id and `gone` ids are taken out. Doing it again changes nothing."""
-    kept = old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
+    kept = old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.dropDuplicates(["chunk_id"]))
     return kept if gone is None else kept.join(gone.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
@@ -113,21 +113,33 @@ def embed(texts: DataFrame, key: str, text: str, model: str = MODEL) -> DataFram
     return texts.select(F.col(key).cast("string").alias("key"), text).mapInArrow(run, "key string, embedding array<float>")
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The vector table that `current.txt` under `path` names, or None if there is none yet."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current.txt').first()[0]}")
+
+
+def usable(table: DataFrame | None, dimensions: int) -> bool:
+    """Whether a stored table can be kept: there is one and its vectors have the wanted dimension. An empty table fits any."""
+    if table is None:
+        return False
+    row = table.select(F.size("embedding").alias("n")).where("n >= 0").first()
+    return row is None or row["n"] == dimensions
+
+
 def build(spark: SparkSession, chunks: DataFrame, path: str, model: str = MODEL, rebuild: bool = False) -> DataFrame:
     """Bring the vector table under `path` up to date and return the plan that was carried out.
 
     Only new and changed chunks are embedded. The new state is written beside the old one and then named in `current.txt`, so that a reader
-    never sees half a table; a rebuild drops what is no longer there.
+    never sees half a table; a rebuild drops what is no longer there, and a table whose vectors have another dimension is made anew.
     """
     import uuid
 
-    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    pointer = fs_path(f"{path}/current.txt")
-    fs = pointer.getFileSystem(hadoop)
-    old = None
-    if fs.exists(pointer) and not rebuild:
-        old = spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current.txt').first()[0]}")
+    old = None if rebuild else stored(spark, path)
+    if not usable(old, len(EMBEDDERS[model]([""])[0])):
+        old = None
     now = hashes(chunks, model)
     planned = plan(now, old if old is not None else now.limit(0))
     todo = planned.where("action = 'embed'").select("chunk_id")
@@ -136,7 +148,8 @@ def build(spark: SparkSession, chunks: DataFrame, path: str, model: str = MODEL,
     table = fresh if old is None else upsert(old, fresh, planned.where("action = 'delete'"))
     name = f"v-{uuid.uuid4().hex}"
     table.write.parquet(f"{path}/{name}")
-    out = fs.create(pointer, True)
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current.txt")
+    out = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).create(pointer, True)
     out.write(bytearray((name + "\n").encode()))
     out.close()
     return planned

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.sources.tables import staged
 
-#: Rows of parents in one range, and of references in one batch of a range.
-RANGE_ROWS, BATCH_ROWS = 100_000, 200_000
+#: Rows of parents in one range, at most so many ranges (larger ones beyond), and references in one batch of a range.
+RANGE_ROWS, MOST_RANGES, BATCH_ROWS = 100_000, 20_000, 200_000
 LISTS = ("cross_references", "cross_reference_ids", "definition_ids")
 _OUT = "chunk_id string, ref_field string, target string, first_at timestamp_ntz, reason string"
 
@@ -69,49 +72,69 @@ def references(chunks: DataFrame) -> DataFrame:
     return rows.join(chunk_times(chunks).select("chunk_id", "first_at"), "chunk_id").select("chunk_id", "ref_field", "target", key.alias("key"), "first_at")
 
 
-def _range(key: Column, ranges: int) -> Column:
-    """The range of a key: equal slices of the 64-bit hash space, so that no range is hot by its spelling."""
-    bits = ranges.bit_length() - 1
-    return (F.shiftrightunsigned(F.xxhash64(key), 64 - bits) if bits else F.lit(0).cast("long")).cast("int")
+_RANGE = "low string, keys array<string>, times array<long>, deleted array<boolean>"
+#: The time of a parent without one.
+_NEVER = np.iinfo(np.int64).min
+
+
+def ranges(keyed: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(low, keys, times, deleted): the parents, cut into ranges of their keys of about equal size, each one row of sorted arrays."""
+    rows = keyed.count()
+    wanted = max(1, -(-rows // max(range_rows, -(-rows // MOST_RANGES))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            keys = t["key"].to_pylist()
+            cols = [pa.array([v], k) for v, k in zip((keys[0], keys, t["at"].to_pylist(), t["deleted"].to_pylist()), (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())))]
+            yield pa.RecordBatch.from_arrays(cols, names=["low", "keys", "times", "deleted"])
+
+    at = F.coalesce(F.unix_micros(F.col("first_at").cast("timestamp")), F.lit(_NEVER))
+    return keyed.select("key", at.alias("at"), "deleted").repartitionByRange(wanted, "key").sortWithinPartitions("key").mapInArrow(run, _RANGE)
 
 
 def probe(refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """One batch against the sorted parent array of its range: the misses, with their reason."""
-    known = known.sort_values("key")
-    keys, wanted = known["key"].to_numpy(object), refs["key"].to_numpy(object)
-    at = np.searchsorted(keys, wanted) if len(keys) else np.zeros(len(wanted), int)
-    near = np.minimum(at, max(len(keys) - 1, 0))
-    hit = (keys[near] == wanted) if len(keys) else np.zeros(len(wanted), bool)
-    first = known["first_at"].to_numpy("datetime64[us]")[near] if len(keys) else np.full(len(wanted), np.datetime64("NaT"), "datetime64[us]")
-    deleted = hit & (known["deleted"].to_numpy(bool)[near] if len(keys) else False)
-    present = hit & ~np.isnat(first)
-    late = present & (first > refs["first_at"].to_numpy("datetime64[us]"))
-    known_without_time = hit & np.isnat(first) & ~deleted
-    reason = np.select([deleted, ~(present | known_without_time), late], ["deleted", "missing", "late"], "")
-    out = refs[["chunk_id", "ref_field", "target", "first_at"]].assign(reason=reason)
-    return out[reason != ""]
+    keys, times, gone = (np.asarray(known[c].iloc[0]) if len(known) else np.zeros(0, kind) for c, kind in (("keys", object), ("times", np.int64), ("deleted", bool)))
+    wanted = refs["key"].to_numpy(object)
+    if len(keys):
+        near = np.minimum(np.searchsorted(keys.astype(object), wanted), len(keys) - 1)
+        hit = keys[near] == wanted
+        first, deleted = times[near].astype(np.int64), hit & gone[near].astype(bool)
+    else:
+        hit = deleted = np.zeros(len(wanted), bool)
+        first = np.full(len(wanted), _NEVER)
+    own = refs["first_at"].to_numpy("datetime64[us]")
+    late = hit & (first != _NEVER) & ~np.isnat(own) & (first > own.astype(np.int64))
+    reason = np.select([deleted, ~hit, late], ["deleted", "missing", "late"], "")
+    return refs[["chunk_id", "ref_field", "target", "first_at"]].assign(reason=reason)[reason != ""]
 
 
 def orphans(chunks: DataFrame, sections: DataFrame, deletions: DataFrame, range_rows: int = RANGE_ROWS, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """References that name no record, or one deleted or later than the reference.
 
-    Parents are cut into equal ranges of the key's hash; each range holds its parents as one sorted array, and the
-    references of the range are probed by binary search in batches of at most about `batch_rows`. A hot range (a key
-    named by a third of all references) is split into several batches, each of which gets the range's parents.
+    Parents are cut into ranges of their keys and stored as one row of sorted arrays each; the references of a range are probed by binary search
+    in batches of about `batch_rows`. A hot range (a key named by a third of all references) is split into several batches, each of which gets
+    the range's arrays. Broadcast are the least keys of the ranges and their numbers of batches: at most MOST_RANGES of each.
     Nulls: rows without chunk_id and null or blank elements give nothing; a chunk without times is never `late`.
     Repeated rows count once; empty tables give no rows; extra columns are ignored.
     """
     refs = staged(references(chunks), "p1_refs")
-    keyed = parents(chunks, sections, deletions)
-    wide = max(1, keyed.count() // range_rows)
-    ranges = 1 << (wide - 1).bit_length()
-    placed = refs.withColumn("range_no", _range(F.col("key"), ranges))
-    # One row per range: how many batches its references need. Bounded by the number of ranges, and joined, not collected.
+    stored = staged(ranges(staged(parents(chunks, sections, deletions), "p1_parents"), range_rows), "p1_ranges")
+    lows = sorted(r["low"] for r in stored.select("low").collect())
+    shared = refs.sparkSession.sparkContext.broadcast(np.array(lows, object))
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(shared.value, keys.to_numpy(object), side="right") - 1, 0) if len(shared.value) else np.zeros(len(keys)), dtype="int32")
+
+    placed = staged(refs.withColumn("range_no", range_of("key")), "p1_placed")
     batches = placed.groupBy("range_no").agg(F.ceil(F.count("*") / F.lit(batch_rows)).cast("int").alias("batches"))
     left = placed.join(F.broadcast(batches), "range_no").withColumn("batch_no", F.pmod(F.xxhash64("chunk_id", "ref_field", "target"), F.col("batches")).cast("int"))
-    right = keyed.withColumn("range_no", _range(F.col("key"), ranges)).join(F.broadcast(batches), "range_no").withColumn("batch_no", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
+    right = stored.withColumn("range_no", range_of("low")).join(F.broadcast(batches), "range_no").withColumn("batch_no", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)))
     left = left.select("range_no", "batch_no", "chunk_id", "ref_field", "target", "key", "first_at")
-    right = right.select("range_no", "batch_no", "key", "first_at", "deleted")
+    right = right.select("range_no", "batch_no", "keys", "times", "deleted")
     return left.groupBy("range_no", "batch_no").cogroup(right.groupBy("range_no", "batch_no")).applyInPandas(probe, _OUT)
 
 

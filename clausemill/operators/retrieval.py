@@ -20,8 +20,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_N, TOP_K, RRF_K = 40, 6, 60
 #: Query vectors that go to all workers at once; more are taken in turns.
 QUERY_BLOCK = 20_000
-#: Cells of a matrix of questions and documents.
-MATRIX = 2_000_000
+#: Pairs of a question and a document that a task scores at once, and that it keeps before it cuts them to the best of each question.
+PAIRS = 1_000_000
 
 
 # --- BM25 ---------------------------------------------------------------------------------------------------------
@@ -48,47 +48,78 @@ def inverse_frequencies(post: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats)).select("term", "df", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw).alias("idf"), "mean_length")
 
 
+class _Best:
+    """The k best (score, key) of each question so far: rows above a question's k-th score are kept, and cut now and then."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.floor, self.held, self.rows = k, np.full(questions, -np.inf), [], 0
+
+    def add(self, q: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        ok = score >= self.floor[q]  # ties may still have the smaller key
+        self.held.append((q[ok], score[ok], key[ok]))
+        self.rows += int(ok.sum())
+        if self.rows > PAIRS:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, score, key = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))
+        order = np.argsort(key, kind="stable")
+        order = order[np.lexsort((-score[order], q[order]))]
+        q, score, key = q[order], score[order], key[order]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        last = place == self.k - 1
+        self.floor[q[last]] = score[last]
+        keep = place < self.k
+        self.held, self.rows = [(q[keep], score[keep], key[keep])], int(keep.sum())
+        return self.held[0]
+
+
 def _bm25_block(asked: list[tuple[str, dict[str, int], str | None]], idf: dict[str, float], mean_length: float, held: DataFrame, k: int) -> DataFrame:
-    by_term: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    by_term: dict[str, tuple[list[int], list[float]]] = {}
     for i, (_, times, _) in enumerate(asked):
         for t, n in times.items():
-            by_term.setdefault(t, ([], []))
-            by_term[t][0].append(i)
-            by_term[t][1].append(n * idf.get(t, 0.0))
+            q, w = by_term.setdefault(t, ([], []))
+            q.append(i)
+            w.append(n * idf.get(t, 0.0))
     terms = {t: (np.array(q), np.array(w, np.float64)) for t, (q, w) in by_term.items()}
-    shared = held.sparkSession.sparkContext.broadcast((terms, [q for q, _, _ in asked], np.array([g or "" for _, _, g in asked], object)))
-    docs_at_once = max(64, MATRIX // max(1, len(asked)))
+    shared = held.sparkSession.sparkContext.broadcast((terms, [q for q, _, _ in asked], [g for _, _, g in asked]))
+
+    def scored(docs: list[tuple[str, str | None, dict[str, float]]], weights: dict, groups: np.ndarray, best: _Best) -> None:
+        """The pairs of some documents and the questions that share a token with them: contributions side by side, added up by pair."""
+        hits = [(d, *weights[t], x) for d, (_, _, parts) in enumerate(docs) for t, x in parts.items()]
+        sizes = np.array([len(q) for _, q, _, _ in hits])
+        q = np.concatenate([h[1] for h in hits])
+        d = np.repeat(np.array([h[0] for h in hits]), sizes)
+        x = np.concatenate([h[2] for h in hits]) * np.repeat(np.array([h[3] for h in hits]), sizes)
+        if groups is not None:
+            own = np.array([g for _, g, _ in docs], object)
+            ok = (groups[q] == None) | (groups[q] == own[d])  # noqa: E711
+            q, d, x = q[ok], d[ok], x[ok]
+        pair, which = np.unique(q.astype(np.int64) * len(docs) + d, return_inverse=True)
+        score = np.round(np.bincount(which, x, len(pair)), 9)
+        keys = np.array([key for key, _, _ in docs], object)
+        best.add(pair // len(docs), score, keys[pair % len(docs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, names, groups = shared.value
-        names = np.array(names, object)
-        some_group = bool((groups != "").any())
+        best = _Best(len(names), k)
+        groups = np.array(groups, object) if any(g is not None for g in groups) else None
+        docs, pairs = [], 0
         for batch in batches:
-            keys, own, texts = (batch.column(i).to_pylist() for i in range(3))
-            for lo in range(0, len(keys), docs_at_once):
-                order = sorted(range(lo, min(len(keys), lo + docs_at_once)), key=keys.__getitem__)
-                places: dict[str, list[tuple[int, float]]] = {}
-                for d, i in enumerate(order):
-                    size = K1 * (1 - B + B * len(texts[i]) / mean_length)
-                    for t, n in Counter(x for x in texts[i] if x in weights).items():
-                        places.setdefault(t, []).append((d, n * (K1 + 1) / (n + size)))
-                if not places:
-                    continue
-                score, met = np.zeros((len(names), len(order))), np.zeros((len(names), len(order)), bool)
-                for t, at in places.items():
-                    q, w = weights[t]
-                    cells = np.ix_(q, [d for d, _ in at])
-                    score[cells] += np.outer(w, [x for _, x in at])
-                    met[cells] = True
-                if some_group:
-                    met &= (groups[:, None] == "") | (groups[:, None] == np.array([own[i] or "" for i in order], object)[None, :])
-                score = np.where(met, np.round(score, 9), -np.inf)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                real = np.isfinite(np.take_along_axis(score, best, 1))
-                rows, cols = np.nonzero(real)
-                chosen = best[rows, cols]
-                shown = np.array([keys[i] for i in order], object)
-                yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.string()), pa.array(shown[chosen], pa.string()), pa.array(score[rows, chosen])], names=["query_id", "key", "score"])
+            for key, own, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = Counter(t for t in tokens if t in weights)
+                if found:
+                    size = K1 * (1 - B + B * len(tokens) / mean_length)
+                    docs.append((key, own, {t: n * (K1 + 1) / (n + size) for t, n in found.items()}))
+                    pairs += sum(len(weights[t][0]) for t in found)
+                if pairs > PAIRS:
+                    scored(docs, weights, groups, best)
+                    docs, pairs = [], 0
+        if docs:
+            scored(docs, weights, groups, best)
+        q, score, key = best.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, object)[q], pa.string()), pa.array(key, pa.string()), pa.array(score, pa.float64())], names=["query_id", "key", "score"])
 
     return held.mapInArrow(run, "query_id string, key string, score double")
 
@@ -101,8 +132,8 @@ def bm25(questions: DataFrame, docs: DataFrame, key: str, text: Column, k: int =
     decimals before they are ranked and ties go to the smaller key, so the result does not depend on the order of
     sums. Null and empty texts count in the statistics and are never found.
 
-    Texts are tokenized once. Each task scores a batch of documents against a block of questions as one matrix and keeps k
-    a question, so the shuffle carries k rows a batch and question, not one per shared token; QUERY_BLOCK bounds the block.
+    Texts are tokenized once. Each task goes over its documents with a block of questions, scores the pairs that share a token, and keeps
+    the k best of each question, so the shuffle carries at most k rows a task and question; QUERY_BLOCK bounds the block.
     """
     held = staged(docs.select(F.col(key).cast("string").alias("key"), (F.lit(None).cast("string") if group is None else group).alias("own"), T.tokens(text).alias("tokens")).where("key is not null"), "bm25_tokens")
     size = held.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
@@ -147,7 +178,7 @@ def _dense_block(ids: np.ndarray, matrix: np.ndarray, groups: np.ndarray | None,
         best_s, best_v = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
         for batch in batches:
             vec, group = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            v = np.array(batch.column(2).to_pylist(), np.float64).reshape(len(vec), -1)
+            v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
             norm = np.sqrt((v * v).sum(axis=1))
             for i in range(0, len(vec), 2048):
                 s = np.round(q @ v[i : i + 2048].T / np.where(norm[i : i + 2048] > 0, norm[i : i + 2048], 1.0), 9)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from clausemill.functions import text as T
 from clausemill.operators import agent, context, graph, index, orphans, parsing, retrieval, roster, traces
 from clausemill.operators.ranking import numbered, top_k
+from clausemill.plans import contracts
 from clausemill.sources.tables import staged, table
 
+_HASHED = ("path", "section_title", "text")
+_TEXT, _LISTS = ("section_id", "section_title", "text"), ("cross_reference_ids", "defined_terms_used", "definition_ids")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,8 +22,8 @@ def _orphans(s: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(table(s, d, "chunks"), table(s, d, "sections"), table(s, d, "chunk_deletions"))
 
 
-def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return graph.current(table(s, d, "chunks"))
+def _chunks(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return graph.current(table(s, d, "chunks"), *columns)
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -28,7 +31,7 @@ def _questions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25(s: SparkSession, d: str, k: int, **more) -> DataFrame:
-    return retrieval.bm25(_questions(s, d), _chunks(s, d), "chunk_id", T.indexed_text(), k, **more)
+    return retrieval.bm25(_questions(s, d), _chunks(s, d, *_TEXT), "chunk_id", T.indexed_text(), k, **more)
 
 
 def _hits(s: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -43,7 +46,7 @@ def _after_cut(s: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chunks = _chunks(s, d)
+    chunks = _chunks(s, d, *_TEXT)
     post = staged(retrieval.postings(chunks, "chunk_id", T.indexed_text()), "postings")
     return post, retrieval.corpus_statistics(chunks, post, "chunk_id", T.indexed_text())
 
@@ -83,7 +86,7 @@ def _dense_list(s: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(s: SparkSession, d: str, **switches) -> DataFrame:
-    return retrieval.hybrid(_questions(s, d), _dense_list(s, d), _chunks(s, d), **switches)
+    return retrieval.hybrid(_questions(s, d), _dense_list(s, d), _chunks(s, d, *_TEXT), **switches)
 
 
 def _ablation(s: SparkSession, d: str) -> DataFrame:
@@ -100,7 +103,7 @@ def _plan(s: SparkSession, d: str) -> DataFrame:
     first = rows.groupBy("chunk_id").agg(F.min_by("content_hash", F.struct("indexed_at", "section_id")).alias("content_hash"))
     last = rows.groupBy("chunk_id").agg(F.max_by("content_hash", F.struct("indexed_at", "section_id")).alias("content_hash"))
     alive = index.state(table(s, d, "chunks"), table(s, d, "chunk_deletions")).select("chunk_id")
-    now = last.join(alive, "chunk_id", "left_semi").join(index.hashes(_chunks(s, d)).select("chunk_id", "tokens"), "chunk_id")
+    now = last.join(alive, "chunk_id", "left_semi").join(index.hashes(_chunks(s, d, *_HASHED)).select("chunk_id", "tokens"), "chunk_id")
     return index.plan(now.where("content_hash is not null"), first.where("content_hash is not null"))
 
 
@@ -124,7 +127,7 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
 
 
 def _wanted(s: SparkSession, d: str) -> DataFrame:
-    held, chunks = staged(_context(s, d), "context"), _chunks(s, d)
+    held, chunks = staged(_context(s, d), "context"), _chunks(s, d, *_LISTS)
     refs = context.referenced_absent(held, chunks).withColumn("kind", F.lit(1))
     defs = context.definitions_absent(held, chunks).withColumn("kind", F.lit(2))
     offered = staged(refs.unionByName(defs), "offered")
@@ -142,15 +145,39 @@ def _density(s: SparkSession, d: str) -> DataFrame:
 
 
 def _references(s: SparkSession, d: str) -> DataFrame:
-    return parsing.extract_references(_chunks(s, d))
+    return parsing.extract_references(_chunks(s, d, "text"))
+
+
+def _view_chunks(s: SparkSession, d: str) -> DataFrame:
+    return parsing.build_chunks(contracts.texts(s, d))
+
+
+def _view_references(s: SparkSession, d: str) -> DataFrame:
+    split = parsing.split_chunks(contracts.texts(s, d))
+    return parsing.extract_references(split.select(T.chunk_id(F.col("doc_id"), F.col("section_id")).alias("chunk_id"), "text"))
+
+
+def _view_terms(s: SparkSession, d: str) -> DataFrame:
+    used = F.arrays_zip("defined_terms_used", "definition_ids")
+    return _view_chunks(s, d).select("chunk_id", F.explode(used).alias("u")).select("chunk_id", F.col("u.defined_terms_used").alias("term"), F.col("u.definition_ids").alias("dst"))
+
+
+def _view_sections(s: SparkSession, d: str) -> DataFrame:
+    rows = parsing.parse_sections(contracts.texts(s, d, True))
+    return rows.select("doc_id", "section_id", "kind", "level", "title", "parent_id", F.array_join("children", " ").alias("children"))
+
+
+def _built(s: SparkSession, d: str) -> DataFrame:
+    lists = [F.array_join(F.array_sort(c), " | ").alias(c) for c in ("cross_reference_ids", "defines_terms", "defined_terms_used", "definition_ids")]
+    return _view_chunks(s, d).select("chunk_id", "section_id", "parent_section_id", "section_title", "text", "kind", "level", "path", "part", "num_parts", *lists)
 
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
-    return _chunks(s, d).where("text is not null").select("chunk_id", F.explode(T.defined_terms(F.col("text"))).alias("term"))
+    return _chunks(s, d, "text").where("text is not null").select("chunk_id", F.explode(T.defined_terms(F.col("text"))).alias("term"))
 
 
 def _resolved(s: SparkSession, d: str) -> DataFrame:
-    return graph.resolve(_chunks(s, d), table(s, d, "sections"))
+    return graph.resolve(_chunks(s, d, "doc_id", "section_id", "part", "cross_references"), table(s, d, "sections"))
 
 
 def _sections(s: SparkSession, d: str) -> DataFrame:
@@ -182,37 +209,42 @@ def queries() -> dict[str, Query]:
         "q09_hybrid_noop_rerank": lambda s, d: _hybrid(s, d).select("query_id", F.col("key").alias("chunk_id"), F.round("fused_score", 6).alias("fused_score"), F.col("final").alias("place")),
         "q09_hybrid_overlap_rerank": lambda s, d: _hybrid(s, d, rerank="overlap").select("query_id", F.col("key").alias("chunk_id"), F.round("rerank_score", 6).alias("rerank_score"), F.col("final").alias("place")),
         "q10_recall_ablation": _ablation,
-        "q11_embedding_text_hash": lambda s, d: index.hashes(_chunks(s, d)),
+        "q11_embedding_text_hash": lambda s, d: index.hashes(_chunks(s, d, *_HASHED)),
         "q12_index_plan": _plan,
         "q12_index_plan_summary": lambda s, d: index.plan_summary(_plan(s, d)),
         "q13_index_state": lambda s, d: index.state(table(s, d, "chunks"), table(s, d, "chunk_deletions")),
-        "q14_token_batches": lambda s, d: index.token_batches(_chunks(s, d)),
-        "q15_split_oversized": lambda s, d: index.packed_parts(_chunks(s, d)),
-        "q16_keyed_fetch_ordered": lambda s, d: context.fetch(_wanted(s, d), _chunks(s, d)).select("query_id", "kind", "place", "chunk_id", "doc_id", "section_id", "score"),
-        "q17_extract_references": _references,
+        "q14_token_batches": lambda s, d: index.token_batches(_chunks(s, d, *_HASHED)),
+        "q15_split_oversized": lambda s, d: index.packed_parts(_chunks(s, d, "text")),
+        "q16_keyed_fetch_ordered": lambda s, d: context.fetch(_wanted(s, d), _chunks(s, d, "doc_id", "section_id", "text")).select("query_id", "kind", "place", "chunk_id", "doc_id", "section_id", "score"),
+        "q17_extract_references": lambda s, d: _view_references(s, d).select("chunk_id", "raw", "target", "relation", "kind"),
+        "q17_chunk_references": lambda s, d: _references(s, d).drop("pos"),
+        "q18_expand_ranges": lambda s, d: _view_references(s, d).where("relation = 'under'").select("chunk_id", "target"),
         "q18_reference_targets": lambda s, d: _references(s, d).groupBy("target", "relation", "kind").agg(F.count("*").alias("chunks")),
         "q19_extract_terms": _terms,
         "q20_resolve_edges": _resolved,
-        "q21_definition_edges": lambda s, d: graph.definition_edges(_chunks(s, d)),
-        "q21_term_uses": lambda s, d: parsing.term_uses(_chunks(s, d)),
+        "q21_definition_edges": lambda s, d: graph.definition_edges(_chunks(s, d, "doc_id", "section_id", "part", "defines_terms", "defined_terms_used")),
+        "q21_view_terms": _view_terms,
+        "q21_term_uses": lambda s, d: parsing.term_uses(_chunks(s, d, "doc_id", "text")),
         "q22_dangling_edges": lambda s, d: graph.dangling(graph.reference_edges(table(s, d, "chunks")), table(s, d, "chunks")).select("src", "dst"),
-        "q23_corpus_report": lambda s, d: graph.corpus_report(_chunks(s, d)),
-        "q24_edge_fanout_topk": lambda s, d: graph.fan_out(graph.reference_edges(_chunks(s, d))),
-        "q24_edge_sample": lambda s, d: graph.inspect(graph.reference_edges(_chunks(s, d)), _chunks(s, d)),
+        "q23_corpus_report": lambda s, d: graph.corpus_report(_chunks(s, d, "doc_id", "text", "cross_reference_ids", "definition_ids", "defines_terms")),
+        "q24_edge_fanout_topk": lambda s, d: graph.fan_out(graph.reference_edges(_chunks(s, d, "doc_id", "cross_reference_ids"))),
+        "q24_edge_sample": lambda s, d: graph.inspect(graph.reference_edges(_chunks(s, d, "doc_id", "cross_reference_ids")), _chunks(s, d, "text")),
         "q25_normalize_lines": _lines,
-        "q26_parse_sections": lambda s, d: parsing.parse_sections(table(s, d, "documents")),
-        "q26_build_chunks": lambda s, d: parsing.build_chunks(table(s, d, "documents")),
-        "q27_toc_span": lambda s, d: parsing.contents_spans(table(s, d, "documents")),
-        "q28_referenced_absent": lambda s, d: context.referenced_absent(_context(s, d), _chunks(s, d)),
-        "q29_definitions_absent": lambda s, d: context.definitions_absent(_context(s, d), _chunks(s, d)),
+        "q20_view_edges": lambda s, d: _view_chunks(s, d).select(F.col("chunk_id").alias("src"), F.explode("cross_reference_ids").alias("dst")),
+        "q26_parse_sections": _view_sections,
+        "q26_build_chunks": _built,
+        "q26_document_sections": lambda s, d: parsing.parse_sections(table(s, d, "documents")),
+        "q27_toc_span": lambda s, d: parsing.contents_spans(contracts.texts(s, d, True)),
+        "q28_referenced_absent": lambda s, d: context.referenced_absent(_context(s, d), _chunks(s, d, *_LISTS)),
+        "q29_definitions_absent": lambda s, d: context.definitions_absent(_context(s, d), _chunks(s, d, *_LISTS)),
         "q30_merge_context": _context,
         "q31_prioritized_context": _shown,
-        "q31_prompt": lambda s, d: context.prompt(_shown(s, d), _chunks(s, d)),
+        "q31_prompt": lambda s, d: context.prompt(_shown(s, d), _chunks(s, d, "doc_id", "section_id", "section_title", "path", "text")),
         "q32_named_sections": lambda s, d: _questions(s, d).select("query_id", F.posexplode(T.named_sections(F.col("raw_query"))).alias("pos", "section_id")),
         "q33_verify_citations": lambda s, d: context.verify_citations(_answers(s, d), _context(s, d)),
         "q34_claim_evidence": lambda s, d: context.claim_evidence(_answers(s, d), _context(s, d)),
         "q35_wanted_ids": _wanted,
-        "q36_list_documents": lambda s, d: _chunks(s, d).groupBy("doc_id").agg(F.count("*").alias("num_chunks")),
+        "q36_list_documents": lambda s, d: _chunks(s, d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("num_chunks")),
         "q37_document_sections": _sections,
         "q38_roster": _roster,
         "q38_roster_resolve": lambda s, d: roster.resolve(_questions(s, d), _roster(s, d)),
@@ -221,8 +253,10 @@ def queries() -> dict[str, Query]:
         "q40_session_history": lambda s, d: traces.history(table(s, d, "traces")),
         "q40_sessions": lambda s, d: traces.sessions(table(s, d, "traces")),
         "q41_trace_latest_state": lambda s, d: traces.latest(table(s, d, "traces")).select("query_id", "status", "last_node", "iteration", "created_at"),
+        "q40_session_queries": lambda s, d: traces.session_queries(table(s, d, "traces")),
         "q41_trace_replay": lambda s, d: traces.replay(table(s, d, "traces")),
         "q42_usage_rollup": lambda s, d: traces.usage(table(s, d, "events")),
+        "q42_latency_by_node": lambda s, d: traces.latency(table(s, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("node"), F.col("value").alias("latency_ms"))),
         "q43_rate_window": lambda s, d: traces.rate(table(s, d, "events")),
         "q44_agent_outcomes": _agent,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from clausemill.functions import structure as S
 from clausemill.functions import text as T
 from clausemill.operators import context, graph, index, retrieval, traces
 
@@ -29,6 +30,23 @@ judged AS (
 
 
 _CURRENT = "SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at, section_id) = 1"
+#: The agreements of `contracts` by arithmetic alone: what each section says, and which edges follow from it. No text is read.
+_VIEW = """
+secs AS (SELECT doc_id, words, r, n, t, m, (r - 1) // 5 + 1 AS a, (r - 1) % 5 + 1 AS b, (t - 1) // 5 + 1 AS c, (t - 1) % 5 + 1 AS d, r * 11 % nullif(m, 0) + 1 AS k FROM (
+  SELECT *, r * 7 % n + 1 AS t, n // 5 AS m FROM (SELECT source AS doc_id, words, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n
+    FROM (SELECT source, doc_id, trim(regexp_replace(substr(text, 1, 200), '[^a-z]+', ' ', 'g')) AS words FROM documents) WHERE source IS NOT NULL AND words <> ''))),
+v AS (SELECT *, doc_id || '__sec_' || a || '.' || b AS id, c || '.' || d AS cd FROM secs),
+named AS (SELECT id, doc_id, 1 AS o, cd AS raw, cd AS target, 'subject_to' AS relation, 'section' AS kind FROM v
+  UNION ALL SELECT id, doc_id, 2, c::VARCHAR, 'ART-' || c, 'pursuant_to', 'article' FROM v WHERE r % 3 = 0
+  UNION ALL SELECT id, doc_id, 3, cd || '(a)(ii)', cd || '(a)(ii)', 'see', 'section' FROM v WHERE r % 4 = 0
+  UNION ALL SELECT id, doc_id, 4, CASE x WHEN 1 THEN a || '.1' ELSE a || '.3' END, a || '.' || x, 'under', 'section' FROM v, (SELECT unnest([1, 2, 3]) AS x) WHERE b = 2),
+hits AS (SELECT id, doc_id || '__sec_' || cd AS dst FROM v
+  UNION SELECT v.id, w.id FROM v JOIN v w ON w.doc_id = v.doc_id AND w.a = v.c WHERE v.r % 3 = 0
+  UNION SELECT v.id, w.id FROM v JOIN v w ON w.doc_id = v.doc_id AND w.a = v.a AND w.b <= 3 WHERE v.b = 2),
+edges AS (SELECT id AS src, dst FROM hits WHERE id <> dst),
+used AS (SELECT id, 'Term A' || k AS term, doc_id || '__sec_' || k || '.5' AS dst FROM v WHERE b < 5 AND k IS NOT NULL)"""
+_VIEW_TEXT = """words || ' subject to Section ' || cd || '.' || CASE WHEN r % 3 = 0 THEN ' It is made pursuant to Article ' || c || '.' ELSE '' END || CASE WHEN r % 4 = 0 THEN ' See Section ' || cd || '(a)(ii).' ELSE '' END
+  || CASE WHEN b = 2 THEN ' It binds under Sections ' || a || '.1 through ' || a || '.3.' ELSE '' END || CASE WHEN b = 5 THEN ' "Term A' || a || '" means the matter of this part.' WHEN k IS NOT NULL THEN ' It uses Term A' || k || '.' ELSE '' END"""
 _QUESTIONS = "SELECT query_id, min(raw_query) AS raw_query, min(doc_id) AS doc_id FROM traces WHERE query_id IS NOT NULL GROUP BY 1"
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
@@ -117,8 +135,15 @@ steps AS (
       FROM up WHERE regexp_matches(label, '\([A-Za-z0-9]{1,4}\)$') OR contains(label, '.')) SELECT * FROM up),
 above AS (SELECT doc_id, src, own, target, label, dst, step FROM steps JOIN held USING (doc_id, label) QUALIFY row_number() OVER (PARTITION BY doc_id, src, target ORDER BY step) = 1),
 tree AS (SELECT doc_id, target, label, min(ord) AS ord FROM (SELECT doc_id, regexp_replace(lower(section_id), '^\s+|[\s.]+$', '', 'g') AS target, regexp_replace(lower(unnest(children)), '^\s+|[\s.]+$', '', 'g') AS label, unnest(range(len(children))) AS ord FROM sections) GROUP BY 1, 2, 3),
-below AS (SELECT r.doc_id, src, own, target, label, dst FROM (SELECT * FROM asked r WHERE NOT EXISTS (SELECT 1 FROM above a WHERE a.doc_id = r.doc_id AND a.src = r.src AND a.target = r.target)) r
-  JOIN tree t USING (doc_id, target) JOIN held USING (doc_id, label) QUALIFY row_number() OVER (PARTITION BY r.doc_id, src, target ORDER BY t.ord, label) <= """ + str(graph.FAN_OUT) + r""")
+rest AS (SELECT * FROM asked r WHERE NOT EXISTS (SELECT 1 FROM above a WHERE a.doc_id = r.doc_id AND a.src = r.src AND a.target = r.target)),
+down AS (
+  WITH RECURSIVE go(doc_id, target, label, dst, path, passed) AS (
+    SELECT DISTINCT r.doc_id, r.target, t.label, h.dst, [t.ord], [r.target, t.label] FROM rest r JOIN tree t USING (doc_id, target) LEFT JOIN held h ON h.doc_id = r.doc_id AND h.label = t.label WHERE t.label <> r.target
+    UNION ALL SELECT g.doc_id, g.target, t.label, h.dst, list_append(g.path, t.ord), list_append(g.passed, t.label) FROM go g JOIN tree t ON t.doc_id = g.doc_id AND t.target = g.label
+      LEFT JOIN held h ON h.doc_id = g.doc_id AND h.label = t.label WHERE g.dst IS NULL AND NOT list_contains(g.passed, t.label)) SELECT * FROM go),
+near AS (SELECT doc_id, target, label, dst, min((len(path), path)) AS spot FROM down WHERE dst IS NOT NULL GROUP BY ALL),
+few AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, target ORDER BY spot, label) <= """ + str(graph.FAN_OUT) + r"""),
+below AS (SELECT r.doc_id, src, own, target, label, dst FROM rest r JOIN few USING (doc_id, target))
 SELECT DISTINCT src, target, dst, how FROM (SELECT src, own, target, label, dst, CASE WHEN step = 0 THEN 'exact' ELSE 'ancestor' END AS how FROM above UNION ALL SELECT src, own, target, label, dst, 'below' FROM below) WHERE label <> own AND dst <> src"""
 
 
@@ -135,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
     term = f"SELECT chunk_id, unnest(list_concat(regexp_extract_all(text, '{_plain(T.MEANS)}', 1), regexp_extract_all(text, '{_plain(T.BRACKETED)}', 1))) AS raw FROM cur WHERE text IS NOT NULL"
     counted = ", ".join(f"len(regexp_extract_all(text, '{_plain(p)}')) AS {n}" for n, (p, _) in T.COUNTED.items())
     density = f"SELECT doc_id, chars, refs, definitions, headings, {' + '.join(f'{n} * {w}' for n, (_, w) in T.COUNTED.items())} AS score FROM (SELECT doc_id, length(text) AS chars, {counted} FROM documents WHERE text IS NOT NULL)"
-    return {
+    every = {
         "p1_found": _ORPHANS + "SELECT chunk_id, ref_field, target, reason FROM judged WHERE reason IS NOT NULL",
         "p1_report": judged,
         "q01_tokenize_counts": f"WITH {_BM25} SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS uses FROM post GROUP BY 1",
@@ -161,9 +186,40 @@ SELECT b.chunk_id, action, CASE WHEN action = 'embed' THEN tokens ELSE 0 END AS
 SELECT c.chunk_id, min(c.doc_id) AS doc_id, count(*) AS deliveries, min(indexed_at) AS first_at, max(indexed_at) AS last_at FROM chunks c LEFT JOIN gone g ON g.chunk_id = c.chunk_id
 WHERE c.chunk_id IS NOT NULL GROUP BY c.chunk_id, g.deleted_at HAVING g.deleted_at IS NULL OR max(indexed_at) > g.deleted_at""",
         "q16_keyed_fetch_ordered": f"WITH cur AS ({_CURRENT}), {_CONTEXT}, {_REFS_ABSENT}, {_DEFS_ABSENT}, {_WANTED} SELECT query_id, wanted.kind, place, chunk_id, doc_id, section_id, 1.0::DOUBLE AS score FROM wanted JOIN cur USING (chunk_id)",
+        "q12_index_plan_summary": "",
+        "q14_token_batches": f"""WITH RECURSIVE {_HASHED}, placed AS (SELECT chunk_id, tokens, row_number() OVER (ORDER BY chunk_id) AS no FROM now),
+cut AS (SELECT *, (no - 1) // {index.BLOCK} AS block, (no - 1) % {index.BLOCK} AS i FROM placed),
+go AS (SELECT chunk_id, block, i, 1 AS batch, tokens, tokens::BIGINT AS filled, 1 AS items FROM cut WHERE i = 0
+  UNION ALL SELECT c.chunk_id, c.block, c.i, CASE WHEN g.items >= {index.BATCH_ITEMS} OR g.filled + c.tokens > {index.BATCH_TOKENS} THEN g.batch + 1 ELSE g.batch END, c.tokens,
+    CASE WHEN g.items >= {index.BATCH_ITEMS} OR g.filled + c.tokens > {index.BATCH_TOKENS} THEN c.tokens ELSE g.filled + c.tokens END,
+    CASE WHEN g.items >= {index.BATCH_ITEMS} OR g.filled + c.tokens > {index.BATCH_TOKENS} THEN 1 ELSE g.items + 1 END FROM go g JOIN cut c ON c.block = g.block AND c.i = g.i + 1)
+SELECT chunk_id, block, batch, tokens FROM go""",
+        "q15_split_oversized": f"""WITH RECURSIVE cur AS ({_CURRENT}), long AS (SELECT chunk_id, regexp_split_to_array(text, '\\n\\s*\\n') AS ps FROM cur WHERE length(text) > {S.CHUNK_CHARS}),
+rows AS (SELECT chunk_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM long),
+go AS (SELECT chunk_id, i, 1 AS g, p AS acc FROM rows WHERE i = 0
+  UNION ALL SELECT r.chunk_id, r.i, CASE WHEN length(g.acc) + length(r.p) + 2 <= {S.CHUNK_CHARS} THEN g.g ELSE g.g + 1 END, CASE WHEN length(g.acc) + length(r.p) + 2 <= {S.CHUNK_CHARS} THEN g.acc || chr(10) || chr(10) || r.p ELSE r.p END
+    FROM go g JOIN rows r ON r.chunk_id = g.chunk_id AND r.i = g.i + 1),
+parts AS (SELECT chunk_id, g, regexp_replace(arg_max(acc, i), '^\\s+|\\s+$', '', 'g') AS text FROM go GROUP BY 1, 2),
+kept AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY g) AS part, count(*) OVER (PARTITION BY chunk_id) AS num_parts FROM parts WHERE text <> '')
+SELECT chunk_id, part, num_parts, text FROM kept""",
+        "q17_extract_references": f"WITH {_VIEW} SELECT DISTINCT id AS chunk_id, raw, target, relation, kind FROM named",
+        "q18_expand_ranges": f"WITH {_VIEW} SELECT id AS chunk_id, a || '.' || x AS target FROM v, (SELECT unnest([1, 2, 3]) AS x) WHERE b = 2",
+        "q20_view_edges": f"WITH {_VIEW} SELECT src, dst FROM edges",
+        "q21_view_terms": f"WITH {_VIEW} SELECT id AS chunk_id, term, dst FROM used",
+        "q26_parse_sections": f"""WITH {_VIEW} SELECT doc_id, a || '.' || b AS section_id, 'section' AS kind, 2 AS level, 'Matter' AS title, 'ART-' || a AS parent_id, '' AS children FROM v
+UNION ALL SELECT doc_id, 'ART-' || a, 'article', 1, 'Part', NULL, string_agg(a || '.' || b, ' ' ORDER BY b) FROM v GROUP BY doc_id, a
+UNION ALL SELECT DISTINCT doc_id, 'preamble', 'preamble', 1, 'Preamble', NULL, '' FROM v""",
+        "q26_build_chunks": f"""WITH {_VIEW}, refs AS (SELECT src, string_agg(dst, ' | ' ORDER BY dst) AS ids FROM edges GROUP BY 1)
+SELECT v.id AS chunk_id, a || '.' || b AS section_id, 'ART-' || a AS parent_section_id, 'Matter' AS section_title, {_VIEW_TEXT} AS text, 'section' AS kind, 2 AS level,
+  'ARTICLE ' || a || ' Part > ' || a || '.' || b || ' Matter' AS path, 1 AS part, 1 AS num_parts, coalesce(ids, '') AS cross_reference_ids, CASE WHEN b = 5 THEN 'Term A' || a ELSE '' END AS defines_terms,
+  coalesce(u.term, '') AS defined_terms_used, coalesce(u.dst, '') AS definition_ids FROM v LEFT JOIN refs ON refs.src = v.id LEFT JOIN used u ON u.id = v.id""",
+        "q27_toc_span": f"WITH {_VIEW} SELECT doc_id, 1 AS first_line, n + 2 AS last_line FROM v GROUP BY doc_id, n HAVING n >= 3",
+        "q31_prompt": f"""WITH cur AS ({_CURRENT}), {_CONTEXT}, shown AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY (source IN ('graph_traversal', 'direct_lookup')) DESC, seq, chunk_id) AS place, chunk_id FROM ctx QUALIFY place <= {context.CONTEXT})
+SELECT query_id, string_agg('[' || doc_id || ' §' || section_id || '] ' || coalesce(nullif(section_title, ''), '(untitled)') || CASE WHEN coalesce(path, '') <> '' THEN chr(10) || '(' || path || ')' ELSE '' END || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS prompt
+FROM shown JOIN cur USING (chunk_id) GROUP BY 1""",
         "q19_extract_terms": f"WITH cur AS ({_CURRENT}) SELECT DISTINCT chunk_id, term FROM (SELECT chunk_id, regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^[ ,]+|[ ,]+$', '', 'g') AS term FROM ({term})) WHERE length(term) > 2",
         "q20_resolve_edges": "WITH " + _RESOLVED,
-        "q21_definition_edges": f"""WITH cur AS ({_CURRENT}), first AS (SELECT doc_id, term, min(chunk_id) AS dst FROM (SELECT doc_id, chunk_id, unnest(defines_terms) AS term FROM cur) WHERE trim(term) <> '' GROUP BY 1, 2)
+        "q21_definition_edges": f"""WITH cur AS ({_CURRENT}), first AS (SELECT doc_id, term, arg_min(chunk_id, (list_transform(regexp_extract_all(section_id, '\\d+'), lambda x: TRY_CAST(x AS BIGINT)), part, chunk_id)) AS dst FROM (SELECT doc_id, chunk_id, section_id, part, unnest(defines_terms) AS term FROM cur) WHERE trim(term) <> '' GROUP BY 1, 2)
 SELECT DISTINCT doc_id, src, term, dst FROM (SELECT doc_id, chunk_id AS src, unnest(defined_terms_used) AS term, defines_terms FROM cur) u JOIN first USING (doc_id, term) WHERE NOT coalesce(list_contains(defines_terms, term), FALSE) AND src <> dst""",
         "q22_dangling_edges": """SELECT DISTINCT src, dst FROM (SELECT chunk_id AS src, unnest(cross_reference_ids) AS dst FROM chunks) WHERE trim(dst) <> '' AND dst NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)""",
         "q23_corpus_report": f"""WITH cur AS ({_CURRENT}), lens AS (SELECT length(text) AS l, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS n FROM cur WHERE text IS NOT NULL)
@@ -193,6 +249,14 @@ FROM parts p JOIN (SELECT DISTINCT query_id, doc_id, section_id, chunk_id FROM c
         "q40_session_history": f"WITH {_LATEST} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, query_id) AS place, query_id, raw_query, status, created_at FROM latest WHERE session_id IS NOT NULL QUALIFY place <= {traces.HISTORY}",
         "q40_sessions": "SELECT session_id, min(created_at) AS created_at, count(DISTINCT query_id) AS queries FROM traces WHERE session_id IS NOT NULL GROUP BY 1",
         "q41_trace_latest_state": f"WITH {_LATEST} SELECT query_id, status, last_node, iteration, created_at FROM latest",
+        "q40_session_queries": "SELECT DISTINCT session_id, query_id FROM traces WHERE session_id IS NOT NULL AND query_id IS NOT NULL",
+        "q41_trace_replay": f"""WITH {_LATEST}, steps AS (SELECT query_id, list_concat(CASE WHEN query_type IS NULL THEN [] ELSE ['planner'] END,
+  flatten(list_transform(range(CASE WHEN coalesce(needs_retrieval, TRUE) THEN coalesce(iteration, 0) ELSE 0 END), lambda i: ['retrieve', 'sufficiency'])),
+  CASE WHEN status = 'complete' THEN ['generate', 'faithfulness'] ELSE [] END) AS ns FROM latest)
+SELECT query_id, unnest(range(len(ns)))::INT AS step, unnest(ns) AS node FROM steps""",
+        "q42_latency_by_node": "SELECT user_id AS query_id, event_type AS node, round(sum(value), 4) AS latency_ms FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2",
         "q42_usage_rollup": "SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1",
         "q43_rate_window": "SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS tokens FROM events WHERE ts IS NOT NULL WINDOW w AS (ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)",
     }
+    every["q12_index_plan_summary"] = f"SELECT action, count(*) AS chunks, sum(tokens)::BIGINT AS tokens, round(sum(tokens) / 10000.0::DOUBLE, 6) AS minutes FROM ({every['q12_index_plan']}) GROUP BY 1"
+    return every

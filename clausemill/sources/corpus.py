@@ -9,19 +9,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import types as K
+
+from clausemill.functions import text as T
 
 #: Fixed value: the folder of an archive that holds the contract texts.
 MEMBERS = "full_contract_txt/"
-_STRINGS = T.ArrayType(T.StringType())
-CHUNK = T.StructType(
+_STRINGS = K.ArrayType(K.StringType())
+CHUNK = K.StructType(
     [
-        T.StructField(name, kind)
+        K.StructField(name, kind)
         for name, kind in (
-            ("chunk_id", T.StringType()), ("doc_id", T.StringType()), ("section_id", T.StringType()), ("parent_section_id", T.StringType()),
-            ("section_title", T.StringType()), ("text", T.StringType()), ("cross_references", _STRINGS), ("cross_reference_ids", _STRINGS),
-            ("defines_terms", _STRINGS), ("defined_terms_used", _STRINGS), ("definition_ids", _STRINGS), ("kind", T.StringType()),
-            ("level", T.IntegerType()), ("path", T.StringType()), ("part", T.IntegerType()), ("num_parts", T.IntegerType()),
+            ("chunk_id", K.StringType()), ("doc_id", K.StringType()), ("section_id", K.StringType()), ("parent_section_id", K.StringType()),
+            ("section_title", K.StringType()), ("text", K.StringType()), ("cross_references", _STRINGS), ("cross_reference_ids", _STRINGS),
+            ("defines_terms", _STRINGS), ("defined_terms_used", _STRINGS), ("definition_ids", _STRINGS), ("kind", K.StringType()),
+            ("level", K.IntegerType()), ("path", K.StringType()), ("part", K.IntegerType()), ("num_parts", K.IntegerType()),
         )
     ]
 )
@@ -62,6 +64,26 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(path, multiLine=True).where("doc_id is not null")
 
 
+def manifest_of(filings: DataFrame) -> DataFrame:
+    """Manifest rows of filings (doc_id, source_file, title, text): their lengths, and what counts towards their density."""
+    counted = T.density()
+    score = counted.pop("score").cast("long").alias("density_score")
+    return filings.select("doc_id", "source_file", "title", F.char_length("text").cast("long").alias("chars"), score, *[c.cast("long").alias(n) for n, c in counted.items()])
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The manifest as one JSON array; one row per agreement, a few hundred bytes each, so it is put together on the driver row by row."""
+    spark = manifest.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    opened = "["
+    for row in manifest.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        out.write(bytearray((opened + row["j"]).encode()))
+        opened = ",\n"
+    out.write(bytearray((opened if opened == "[" else "").encode() + b"]\n"))
+    out.close()
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """One JSON object a line, characters as they are."""
     chunks.write.mode("overwrite").json(path)

@@ -77,6 +77,7 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in corpus.archive(spark, str(tmp_path / "a.zip")).collect()] == [("b", "body")]
     (tmp_path / "manifest.json").write_text('[{"doc_id": "d", "source_file": "f"}, {"source_file": "g"}]')
     assert corpus.read_manifest(spark, str(tmp_path / "manifest.json")).count() == 1 and corpus.read_manifest(spark, str(tmp_path / "none.json")).count() == 0
-    made = api.build_chunks(spark, str(tmp_path / "raw"), str(tmp_path / "chunks"))
-    assert [r.chunk_id for r in made.collect()] == ["one__sec_1.1"]
+    report = api.build_chunks(spark, str(tmp_path / "raw"), str(tmp_path / "chunks")).first()
+    assert (report.documents, report.chunks, report.reference_edges, report.dangling) == (1, 1, 0, 0)
+    assert [r.chunk_id for r in corpus.read_chunks(spark, str(tmp_path / "chunks")).collect()] == ["one__sec_1.1"]
     assert corpus.read_chunks(spark, str(tmp_path / "chunks")).first().section_title == "Scope"

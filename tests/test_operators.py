@@ -65,6 +65,24 @@ def test_salted_join(spark):
     assert salted_join(many, one, "key", "i").count() == 50
 
 
+def test_running_sums_over_slices(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 60), rng.randint(-5, 5)) for _ in range(500)]
+    got = ranking.running(spark.createDataFrame(rows, "at int, v long"), "at", ["v"]).collect()
+    assert len(got) == 500 and all(r.sum_v == sum(v for x, v in rows if x <= r["at"]) for r in got)
+
+
+def test_bm25_keeps_the_best_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIRS", 7)
+    rng = random.Random(4)
+    docs = [(f"d{k:03}", " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randint(1, 5)))) for k in range(90)]
+    df = spark.createDataFrame(docs, "chunk_id string, text string")
+    q = spark.createDataFrame([("q1", "alpha"), ("q2", "beta gamma gamma")], "query_id string, raw_query string")
+    every = {(r.query_id, r.key): (r.score, r["rank"]) for r in retrieval.bm25(q, df, "chunk_id", F.col("text"), 90).collect()}
+    few = {(r.query_id, r.key): (r.score, r["rank"]) for r in retrieval.bm25(q, df, "chunk_id", F.col("text"), 4).collect()}
+    assert few == {k: v for k, v in every.items() if v[1] <= 4} and len(few) == 8
+
+
 def test_bm25_by_formula(spark):
     docs = {"a": "alpha beta beta", "b": "alpha gamma", "c": "delta", "d": None, "e": "the of"}
     df = spark.createDataFrame(list(docs.items()), "chunk_id string, text string")
@@ -198,6 +216,16 @@ def test_index_is_built_and_kept(spark, tmp_path):
     assert [r.chunk_id for r in held] == ["a"] and len(held[0].embedding) == index.DIMENSIONS
 
 
+def test_an_index_of_another_dimension_is_made_anew(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([("a", "p", "t", "text one"), ("b", None, "", "two")], "chunk_id string, path string, section_title string, text string")
+    index.build(spark, chunks, str(tmp_path))
+    assert index.build(spark, chunks, str(tmp_path)).where("action = 'embed'").count() == 0
+    assert index.usable(index.stored(spark, str(tmp_path)), index.DIMENSIONS) and not index.usable(index.stored(spark, str(tmp_path)), 8) and not index.usable(None, 8)
+    monkeypatch.setitem(index.EMBEDDERS, index.MODEL, lambda texts: np.ones((len(texts), 8), np.float32))
+    assert index.build(spark, chunks, str(tmp_path)).where("action = 'embed'").count() == 2
+    assert {len(r.embedding) for r in index.stored(spark, str(tmp_path)).collect()} == {8}
+
+
 def test_token_batches_cover_all(spark):
     rows = [(f"c{k:03}", None, None, "x" * (4 * (k % 50))) for k in range(230)]
     df = spark.createDataFrame(rows, "chunk_id string, path string, section_title string, text string")
@@ -218,7 +246,9 @@ def test_references_reach_below_containers(spark):
 
 
 def test_roster(spark):
-    assert roster.clean_company("NORTHPHARMACEUTICALSINC") == "North Pharmaceuticals INC" and roster.clean_company("BrightTherapeuticsInc") == "Bright Therapeutics INC"
+    names = {"NORTHPHARMACEUTICALSINC": "North Pharmaceuticals INC", "BrightTherapeuticsInc": "Bright Therapeutics INC", "ACMEWORKS,LLC": "Acmeworks, LLC", "_a-": "A", "": "", "GROUP": "Group"}
+    got = spark.createDataFrame(list(names.items()), "n string, w string").select("w", roster.clean_company(F.col("n")).alias("c")).collect()
+    assert [r.c for r in got] == [r.w for r in got]
     m = spark.createDataFrame([("doc_1", "NORTHPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t"), ("doc_2", "acmeworks-Development And Option Agreement.txt", "t"), (None, "x.txt", "t"), ("doc_1", "NORTHPHARMACEUTICALSINC_10-K_Supply Agreement.txt", "t")], "doc_id string, source_file string, title string")
     r = roster.roster(m)
     assert {(x.doc_id, x.kind) for x in r.collect()} == {("doc_1", "Supply Agreement"), ("doc_2", "Development And Option Agreement")}
@@ -239,10 +269,41 @@ def test_traces(spark):
 
 
 def test_rate_window(spark):
-    at_s = [0, 10, 59.999999, 60, 60.000001, 3599, 3600, 3658]
-    rows = [(i, DAY + timedelta(seconds=s), 1.0) for i, s in enumerate(at_s)] + [(99, None, 1.0)]
-    got = {r.event_id: r.requests for r in traces.rate(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double")).collect()}
-    assert got == {i: sum(1 for x in at_s if s - 60 < x <= s) for i, s in enumerate(at_s)}
+    at_s = [0, 10, 59.999999, 60, 60.000001, 3599, 3600, 3658, 3658]
+    rows = [(i, DAY + timedelta(seconds=s), float(i)) for i, s in enumerate(at_s)] + [(99, None, 1.0)]
+    got = {r.event_id: (r.requests, r.tokens) for r in traces.rate(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double")).collect()}
+    assert got == {i: (sum(1 for x in at_s if s - 60 < x <= s), float(sum(k for k, x in enumerate(at_s) if s - 60 < x <= s))) for i, s in enumerate(at_s)}
+    assert traces.rate(spark.createDataFrame([], "event_id long, ts timestamp_ntz, value double")).collect() == []
+
+
+def test_traces_are_written_and_read(spark, tmp_path):
+    q = spark.createDataFrame([("q", "s", "Why?", "d"), ("r", "s", "How?", None)], "query_id string, session_id string, raw_query string, doc_id string")
+    begun = traces.started(q, F.lit(DAY))
+    over = traces.ended(begun, spark.createDataFrame([("r", "no model")], "query_id string, error string"), F.lit(at(1)))
+    assert {(r.query_id, r.status, r.error, r.completed_at) for r in over.collect()} == {("q", "complete", None, at(1)), ("r", "failed", "no model", None)}
+    traces.save(begun, str(tmp_path / "log"))
+    traces.save(over.drop("completed_at"), str(tmp_path / "log"))
+    held = spark.read.parquet(str(tmp_path / "log")).withColumn("iteration", F.lit(1)).withColumn("last_node", F.lit("generate"))
+    assert {(r.query_id, r.status) for r in traces.latest(held).collect()} == {("q", "complete"), ("r", "failed")}
+    assert {(r.session_id, r.query_id) for r in traces.session_queries(held).collect()} == {("s", "q"), ("s", "r")}
+    step = spark.createDataFrame([("q", True, ["a", "b"], "x", ["c1", "c2"])], "query_id string, sufficient boolean, sections_needed array<string>, secret string, context array<string>")
+    assert {(r.key, r.value) for r in traces.updates_of(step, "sufficiency", 3).collect()} == {("sufficient", "true"), ("sections_needed", '["a","b"]')}
+    assert traces.public_state(step).first().context_size == 2 and "context" not in traces.public_state(step).columns
+
+
+def test_replay_tells_the_stored_rounds(spark):
+    rounds = '[{"trigger":"initial","sufficiency":{"sufficient":false}},{"trigger":"graph_traversal","sufficiency":{"sufficient":true}},{"trigger":"query_rewrite"}]'
+    t = spark.createDataFrame([("q", "complete", DAY, 2, "n", "factual", rounds, "said", None), ("r", "running", DAY, 0, "n", None, None, None, None)], "query_id string, status string, created_at timestamp_ntz, iteration int, last_node string, query_type string, iterations string, final_answer string, faithfulness string")
+    got = {}
+    for r in traces.replay(t).orderBy("query_id", "step").collect():
+        got.setdefault(r.query_id, []).append(r.node)
+    assert got == {"q": ["planner", "retrieve", "sufficiency", "refine", "sufficiency", "retrieve", "generate"]}
+
+
+def test_usage(spark):
+    log = spark.createDataFrame([("q", "planner", 5.0, 10, None), ("q", "retrieve", 2.0, None, 1), ("q", "retrieve", 3.0, 4, 2), (None, "x", 1.0, 1, 1)], "query_id string, node string, latency_ms double, input_tokens long, output_tokens long")
+    assert {tuple(r) for r in traces.latency(log).collect()} == {("q", "planner", 5.0), ("q", "retrieve", 5.0)}
+    assert [tuple(r) for r in traces.token_totals(log).collect()] == [("q", 14, 3)]
 
 
 def test_trace_stream(spark, tmp_path):
