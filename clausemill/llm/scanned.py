@@ -30,6 +30,7 @@ _PAGE_LINE = re.compile(
 _PAGE_TAIL = re.compile(rf"(?:[ \t ]{{2,}}|\t)(?:{_PAGE_WORD}[ \t ]*\|?[ \t ]*)?\d{{1,4}}(?:[ \t ]*(?:of|/)[ \t ]*\d{{1,4}})?[ \t]*$", re.IGNORECASE)
 #: The look-alike letters and invisible characters that a repeated line may carry, mapped away before lines are compared.
 _PLAIN = str.maketrans("АВЕКМНОРСТУХЅІЈаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧοɡ", "ABEKMHOPCTYXSIJaeopcyxsijABEZHIKMNOPTYXog", "­​‌‍⁠﻿")
+_ODD = re.compile(f"[{''.join(map(chr, _PLAIN))}]")
 _HEADING = re.compile(r"^\s*(?:(?:ARTICLE|SECTION|CLAUSE)\s+[\dIVXLC]+\b|\d+(?:\.\d+)*\.?\s+\S|\([a-zA-Z]{1,5}\)|\([ivx]+\))", re.IGNORECASE)
 _TABLE = re.compile(r"\S(?: {2,}|\t)\S.*\S(?: {2,}|\t)\S")
 _SPACED = re.compile(r"^(?:\S )+\S$")
@@ -74,7 +75,7 @@ def parts_of(key: str) -> list[str]:
 
 
 def _plain(line: str) -> str:
-    return line if line.isascii() else line.translate(_PLAIN)
+    return line.translate(_PLAIN) if not line.isascii() and _ODD.search(line) else line
 
 
 def _tail(line: str) -> re.Match | None:
@@ -109,16 +110,19 @@ def page_edge(lines: list[str], k: int, width: int) -> bool:
     neither heading nor table nor text: most of its longer words begin with a capital."""
     line = lines[k]
     s = line.strip()
-    if len(s) < 3 or s[0].islower():
+    if len(s) < 3 or s[0].islower() or s[-1] in ";:,":
         return False
     tail = _tail(line)
     if not tail:
         if " " not in s and not s.isupper() and "-" not in s:
             return False
-        after = next((x.split(None, 1)[0] for x in lines[k + 1 : k + 6] if x.strip()), "")
-        if len(line.rstrip()) + 1 + len(after) > width:
+        room = width - len(line.rstrip()) - 1
+        if room < 1:
             return False
-    if _HEADING.match(s) or s[-1] in ";:,":
+        after = next((x.lstrip() for x in lines[k + 1 : k + 6] if x.strip()), "")
+        if len(after[: room + 1].split(None, 1)[0] if after else "") > room:
+            return False
+    if _HEADING.match(s):
         return False
     long = _LONG_WORD.findall(s)
     if 2 * sum(x[0].islower() for x in long) > len(long):
@@ -196,6 +200,7 @@ class _Tally:
     def __init__(self):
         self.units: Counter = Counter()
         self.lines: Counter = Counter()
+        self.parts: Counter = Counter()
 
     def add(self, text: str) -> None:
         heads, lines, pages, _ = clues(text)
@@ -204,19 +209,17 @@ class _Tally:
             for part in parts_of(key):
                 self.lines["broken" if broken else "edge", f"{part}\t{around}"] += 1
         if len(lines) > 1:
-            for k, line in enumerate(lines):
-                if line.strip() and k not in pages:
-                    for part in parts_of(line_key(line)):
-                        self.lines["all", part] += 1
+            self.parts.update([part for k, line in enumerate(lines) if line and k not in pages for part in parts_of(line_key(line))])
         for word in _COUNTED.findall(text):
             self.lines["numbered", word] += 1
         self.units.update((body_of(lines, pages) if pages or heads or len(lines) > 1 else text).split())
 
     def full(self) -> bool:
-        return len(self.units) + len(self.lines) > 400_000
+        return len(self.units) + len(self.lines) + len(self.parts) > 600_000
 
     def give(self) -> pa.RecordBatch:
         out = self.lines
+        out.update({("all", part): n for part, n in self.parts.items()})
         for unit, n in self.units.items():
             if unit.isalpha():
                 out["word", unit.lower()] += n
