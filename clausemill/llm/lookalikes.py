@@ -4,28 +4,52 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausemill.operators.joins import salted_join
 from clausemill.sources.tables import staged
 
-#: Letters of other scripts, and rare Latin ones, and the Latin letters they look like.
-LOOKALIKE = "АВЕКМНОРСТУХЅІЈԌԚԜӀаеорсухѕіјԁԛԝһ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲ" "ɡɑı"
-PLAIN = "ABEKMHOPCTYXSIJGQWIaeopcyxsijdqwh" "ABEZHIKMNOPTYXoc" "gai"
+#: Letters of other scripts, and rare Latin ones, and the Latin letters they look like, taken from what the Unicode consortium's public
+#: table of confusable characters (UTS 39) has for Cyrillic, Greek, Latin, Armenian and Cherokee letters that are drawn alike in common fonts.
+LOOKALIKE = "АВЕКМНОРСТУХЅІЈԌԚԜӀаеорсухѕіјԁԛԝһ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲ" "ɡɑı" "ՕՏԼՍհոսօցքզ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏃᏔᏕᏙᏚᏞᏟᏢᏦᏴ"
+PLAIN = "ABEKMHOPCTYXSIJGQWIaeopcyxsijdqwh" "ABEZHIKMNOPTYXoc" "gai" "OSLUhnuogpq" "DRTAJEWMHYZWSVSLCPKB"
 #: What Java and RE2 both read: characters that make a word suspect. Composed letters, quotes, dashes and § are none.
-FOREIGN = r"\x{370}-\x{3FF}\x{1F00}-\x{1FFF}\x{400}-\x{52F}\x{261}\x{251}\x{131}"
+FOREIGN = r"\x{370}-\x{3FF}\x{1F00}-\x{1FFF}\x{400}-\x{52F}\x{261}\x{251}\x{131}\x{531}-\x{58F}\x{13A0}-\x{13FF}"
 SPACES = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 INVISIBLE = r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{206A}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}"
-COMPAT = r"\x{FF01}-\x{FF5E}\x{FFE0}-\x{FFE6}\x{FB00}-\x{FB06}\x{2160}-\x{217F}\x{2070}-\x{209C}\x{2460}-\x{24FF}\x{132}\x{133}\x{149}\x{17F}\x{1C4}-\x{1CC}\x{1D400}-\x{1D7FF}\x{210A}-\x{2113}\x{2115}\x{2119}-\x{211D}\x{2124}\x{2128}-\x{2131}"
+
+
+def _compatible(c: str) -> bool:
+    """Whether a character is another form of ordinary ones by Unicode's own data: wide or narrow, or one whose plain form is letters, digits and ASCII
+    signs; or one that is never stored as it is (like the Kelvin sign). Latin-1 signs, general punctuation, ™ and ℠ are ordinary."""
+    kind = unicodedata.decomposition(c)
+    if not kind or c <= "\xff" or "\u2000" <= c <= "\u206f" or c in "™℠\u3000":
+        return False
+    if not kind.startswith("<"):
+        return unicodedata.normalize("NFC", c) != c and not unicodedata.combining(c)
+    return kind.startswith(("<wide>", "<narrow>")) or all(x.isalnum() or "!" <= x <= "~" for x in unicodedata.normalize("NFKC", c))
+
+
+def _ranges(points: list[int]) -> str:
+    """A character class of code points."""
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
+COMPAT = _ranges([p for p in range(0x100, 0x20000) if _compatible(chr(p))])
 SUSPECT = rf"[{FOREIGN}{SPACES}{INVISIBLE}{COMPAT}\x{{300}}-\x{{36F}}]"
-_BLANK = r" \t\n\x{B}\f\r"
 
 
 def _py(cls: str) -> str:
@@ -36,7 +60,10 @@ _MAP = str.maketrans(LOOKALIKE, PLAIN)
 _INVISIBLE, _SPACES, _COMPAT = (re.compile(f"[{_py(x)}]") for x in (INVISIBLE, SPACES, COMPAT))
 _RUN = regex.compile(r"[\p{L}\p{M}]+")
 _ALIEN = regex.compile(rf"[\p{{L}}--\p{{Latin}}--[{LOOKALIKE}]]", regex.V1)
-_TOKEN = regex.compile(rf"[^ \t\n\v\f\r]*[{_py(FOREIGN + SPACES + INVISIBLE + COMPAT)}\u0300-\u036f][^ \t\n\v\f\r]*")
+_TOKEN = re.compile(r"[^ \t\n\v\f\r]+")
+#: Words end at the plain white space of ASCII only; the plain split of Python also ends them at these.
+_OTHER_SPACE = re.compile(f"[{_py(SPACES)}\x85\x1c-\x1f]")
+_SUSPECT = re.compile(f"[{_py(FOREIGN + SPACES + INVISIBLE + COMPAT)}\u0300-\u036f]")
 
 
 def fold(value: str) -> str:
@@ -51,40 +78,68 @@ def _folded(values: pd.Series) -> pd.Series:
     return values.map(fold, na_action="ignore")
 
 
-def fields(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, text_field, value): the suspect texts and terms; the JVM's pattern drops all others."""
-    text = chunks.select("chunk_id", F.lit("text").alias("text_field"), F.col("text").alias("value"))
-    terms = chunks.select("chunk_id", F.lit("defines_terms").alias("text_field"), F.explode("defines_terms").alias("value"))
-    return text.unionByName(terms).where(
-        F.col("chunk_id").isNotNull() & (F.octet_length("value") > F.char_length("value")) & F.col("value").rlike(SUSPECT)
-    )
+_SEEN = "chunk_id string, text_field string, token string, n long"
+
 
+def _words(value: str) -> list[str]:
+    return value.split() if value.isascii() or not _OTHER_SPACE.search(value) else _TOKEN.findall(value)
 
-def tokens(suspect: DataFrame) -> DataFrame:
-    """(chunk_id, text_field, token) of the suspect words, once each."""
-    words = F.filter(F.split("value", f"[{_BLANK}]+"), lambda w: (F.octet_length(w) > F.char_length(w)) & w.rlike(SUSPECT))
-    return suspect.select("chunk_id", "text_field", F.explode(F.array_distinct(words)).alias("token")).distinct()
 
+def seen(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, text_field, token, n): the suspect words of each text and term, and, without chunk_id, how often each word of the corpus stands in it.
 
-def classes(found: DataFrame) -> DataFrame:
+    One pass over the texts; a task holds the counts of at most half a million words at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], names=["chunk_id", "text_field", "token", "n"])
+
+        counts: Counter = Counter()
+        for batch in batches:
+            found = []
+            for chunk_id, text, terms in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for field, value in (("text", text), *(("defines_terms", t) for t in terms or ())):
+                    if value:
+                        words = _words(value)
+                        counts.update(words)
+                        if not value.isascii():
+                            found += [(chunk_id, field, w, 1) for w in set(words) if not w.isascii() and _SUSPECT.search(w)]
+            yield rows_of(found)
+            if len(counts) > 500_000:
+                yield rows_of([(None, None, w, n) for w, n in counts.items()])
+                counts.clear()
+        yield rows_of([(None, None, w, n) for w, n in counts.items()])
+
+    return chunks.where("chunk_id is not null").select("chunk_id", "text", "defines_terms").mapInArrow(run, _SEEN)
+
+
+def classes(found: DataFrame, corpus: DataFrame) -> DataFrame:
     """(token, canonical): every suspect word and the member that its class of visually equal words is stored as.
 
-    Members are the words met and their plain forms. A class is what the collation UNICODE_CI, which minds accents and
-    not width, composition or invisible characters, holds equal after the look-alike letters are mapped, in one pattern
-    of capitals (the collation itself does not mind case). Its canonical member is the one without suspect characters,
-    then the most frequent, then the smaller one by code point.
+    found has the suspect words, corpus (token, n) how often each word of the corpus stands in it. A class is what the collation UNICODE_CI, which
+    minds accents and not width, composition or invisible characters, holds equal after the look-alike letters are mapped, in one
+    pattern of capitals (the collation itself does not mind case). Members are the suspect words, the words of the corpus
+    that fall into their classes, and their plain forms, which count 0 where nobody wrote them. The canonical
+    member is the most frequent one without suspect characters, then the smaller one by code point.
     """
-    met = found.groupBy("token").agg(F.count("*").alias("n"))
-    both = met.select("token", "n", F.pandas_udf(_folded, "string")("token").alias("plain"))
-    members = both.select(F.col("token").alias("member"), "n", "plain").unionByName(both.select(F.col("plain").alias("member"), F.lit(0).cast("long").alias("n"), "plain"))
-    members = members.groupBy("member").agg(F.max("n").alias("n"), F.min("plain").alias("plain"))
     alien = rf"[\p{{L}}&&[^\p{{IsLatin}}{LOOKALIKE}]]"
-    mapped = F.when(F.col("member").rlike(alien), F.col("member")).otherwise(F.translate("member", LOOKALIKE, PLAIN))
-    capitals = F.regexp_replace(F.regexp_replace("plain", r"\p{Lu}", "\u0001"), "[^\u0001]", "0")
-    keyed = members.select("member", "n", capitals.alias("capitals"), F.collate(mapped, "UNICODE_CI").alias("mapped"))
+
+    def keyed(words: DataFrame) -> DataFrame:
+        mapped = F.when(F.col("member").rlike(alien), F.col("member")).otherwise(F.translate("member", LOOKALIKE, PLAIN))
+        capitals = F.regexp_replace(F.regexp_replace("plain", r"\p{Lu}", "\u0001"), "[^\u0001]", "0")
+        return words.select("member", "n", capitals.alias("capitals"), F.collate(mapped, "UNICODE_CI").alias("mapped"))
+
+    met = staged(found.select("token").distinct().withColumn("plain", F.pandas_udf(_folded, "string")("token")), "p4_met")
+    suspects = keyed(met.select(F.col("token").alias("member"), F.lit(0).cast("long").alias("n"), "plain"))
+    groups = suspects.select("mapped", "capitals").distinct()
+    written = keyed(corpus.join(met.select("token"), "token", "left_anti").select(F.col("token").alias("member"), "n", F.col("token").alias("plain"))).join(groups, ["mapped", "capitals"], "left_semi")
+    forms = keyed(met.select(F.col("plain").alias("member"), F.lit(0).cast("long").alias("n"), "plain"))
+    members = suspects.unionByName(written).unionByName(forms)
     best = F.min_by("member", F.struct(F.col("member").rlike(SUSPECT), -F.col("n"), F.col("member")))
-    canonical = keyed.groupBy("mapped", "capitals").agg(best.alias("canonical"))
-    joined = keyed.where("n > 0").join(canonical, ["mapped", "capitals"])
+    canonical = members.groupBy("mapped", "capitals").agg(best.alias("canonical"))
+    joined = suspects.join(canonical, ["mapped", "capitals"])
     return joined.select(F.col("member").alias("token"), F.collate("canonical", "UTF8_BINARY").alias("canonical"))
 
 
@@ -94,8 +149,10 @@ def rewrites(chunks: DataFrame) -> DataFrame:
     Null texts, lists and elements and rows without chunk_id give nothing; a repeated row counts once; empty tables give
     no rows; extra columns are ignored. A word that a third of all chunks hold is joined in salted parts.
     """
-    found = staged(tokens(fields(chunks)), "p4_tokens")
-    return salted_join(found, classes(found), "token", "chunk_id").where("token <> canonical")
+    every = staged(seen(chunks), "p4_seen")
+    found = every.where("chunk_id is not null").select("chunk_id", "text_field", "token").distinct()
+    corpus = every.where("chunk_id is null").groupBy("token").agg(F.sum("n").alias("n"))
+    return salted_join(found, staged(classes(found, corpus), "p4_classes"), "token", "chunk_id").where("token <> canonical")
 
 
 def found(chunks: DataFrame) -> DataFrame:
@@ -104,7 +161,9 @@ def found(chunks: DataFrame) -> DataFrame:
 
 def unified(chunks: DataFrame) -> DataFrame:
     """(chunk_id, text_field, value, form) of each text and term that changes: as stored, and in its consistent form."""
-    suspect = fields(chunks).distinct()
+    text = chunks.select("chunk_id", F.lit("text").alias("text_field"), F.col("text").alias("value"))
+    terms = chunks.select("chunk_id", F.lit("defines_terms").alias("text_field"), F.explode("defines_terms").alias("value"))
+    suspect = text.unionByName(terms).where(F.octet_length("value") > F.char_length("value")).distinct()
     changes = rewrites(chunks).groupBy("chunk_id", "text_field").agg(F.collect_list(F.struct("token", "canonical")).alias("pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
