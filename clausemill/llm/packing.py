@@ -7,10 +7,10 @@ from bisect import bisect_right, insort
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausemill.llm.bpe import VOCABULARY, token_counts
+from clausemill.operators.ranking import running
 from clausemill.sources.tables import staged
 
 CAPACITY, GROUP_ROWS = 2048, 5000
@@ -85,11 +85,11 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP
     sums = staged(sized.groupBy("group_no", "source").agg(F.sum("n_tokens").alias("tokens")), "p8_sums")
     total = sums.groupBy().agg(F.sum("tokens").alias("all_tokens"))
     shares = sums.groupBy("source").agg(F.sum("tokens").alias("source_tokens")).join(F.broadcast(total)).select("source", (F.col("source_tokens") / F.greatest(F.col("all_tokens"), F.lit(1))).alias("share"))
-    before = W.orderBy("group_no").rowsBetween(W.unboundedPreceding, -1)
-    # One row a group of documents, a few numbers each.
-    ahead = sums.groupBy("group_no").agg(F.sum("tokens").alias("t")).select("group_no", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ahead"))
+    # What the groups before have placed, in all and of each source: running sums in slices, less the group's own.
+    ahead = running(sums.groupBy("group_no").agg(F.sum("tokens").alias("t")), "group_no", ["t"]).select("group_no", (F.col("sum_t") - F.col("t")).alias("ahead"))
     carried = (
-        sums.withColumn("own", F.coalesce(F.sum("tokens").over(before.partitionBy("source")), F.lit(0)))
+        running(sums, "group_no", ["tokens"], "source")
+        .withColumn("own", F.col("sum_tokens") - F.col("tokens"))
         .join(shares, "source")
         .join(ahead, "group_no")
         .select("group_no", "source", "share", (F.col("share") * F.col("ahead") - F.col("own")).alias("carry"))
@@ -104,3 +104,19 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP
 
     sized = sized.select("group_no", "doc_id", "piece", "start_token", "n_tokens", "source")
     return sized.groupBy("group_no").cogroup(carried.groupBy("group_no")).applyInPandas(run, _OUT)
+
+
+def mixture(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(source, target, containers, mean_gap, within_tenth): how near the containers come to the target proportions.
+
+    target is the source's share of all tokens; mean_gap is the mean difference of its share of a container from it, over all
+    containers, in parts of the capacity; within_tenth is the part of the containers where that is at most 0.1.
+    """
+    packed = staged(packed, "p8_packed")
+    held = packed.groupBy("container_id", "source").agg(F.sum("n_tokens").alias("n"))
+    size = packed.agg(F.sum("n_tokens").alias("all_tokens"), F.countDistinct("container_id").alias("containers"))
+    share = packed.groupBy("source").agg(F.sum("n_tokens").alias("n_all")).join(F.broadcast(size)).select("source", "containers", (F.col("n_all") / F.greatest(F.col("all_tokens"), F.lit(1))).alias("target"))
+    gap = F.abs(F.col("n") / capacity - F.col("target"))
+    met = held.join(share, "source").groupBy("source", "target", "containers").agg(F.count("*").alias("with"), F.sum(gap).alias("gaps"), F.sum(F.when(gap <= 0.1, 1).otherwise(0)).alias("near"))
+    without = F.col("containers") - F.col("with")  # containers that hold nothing of the source
+    return met.select("source", F.round("target", 6).alias("target"), "containers", F.round((F.col("gaps") + without * F.col("target")) / F.col("containers"), 6).alias("mean_gap"), F.round((F.col("near") + F.when(F.col("target") <= 0.1, without).otherwise(0)) / F.col("containers"), 6).alias("within_tenth"))

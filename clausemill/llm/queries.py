@@ -25,10 +25,12 @@ def queries() -> dict[str, Query]:
         "p4_unified": lambda s, d: lookalikes.unified(table(s, d, "chunks")),
         "p5_found": lambda s, d: splitting.split_oversized(table(s, d, "chunks")).where("num_parts > 1").select("chunk_id").distinct(),
         "p5_parts": lambda s, d: splitting.split_oversized(table(s, d, "chunks")),
+        "p5_rejoined": lambda s, d: splitting.rejoined(splitting.split_oversized(table(s, d, "chunks"))),
         "p6_found": lambda s, d: fusion.winners(table(s, d, "retrieved")),
         "p6_ranking": lambda s, d: fusion.fuse(table(s, d, "retrieved")),
         "p7_ids": lambda s, d: bpe.encode(table(s, d, "documents")),
         "p8_pack": lambda s, d: packing.pack(table(s, d, "documents")),
+        "p8_mixture": lambda s, d: packing.mixture(packing.pack(table(s, d, "documents"))),
         "p9_found": lambda s, d: language.wrong_labels(table(s, d, "documents"), table(s, d, "languages")),
         "p9_segments": lambda s, d: language.segments(table(s, d, "documents"), table(s, d, "languages")),
     }
@@ -71,6 +73,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _alike(),
         "p5_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL AND length(text) > {splitting.LIMIT}",
+        "p5_rejoined": f"SELECT chunk_id, md5(min(text)) AS text_md5, TRUE AS sound FROM chunks WHERE chunk_id IS NOT NULL AND length(text) > {splitting.LIMIT} GROUP BY 1",
         "p6_ranking": _ranked() + f" SELECT query_id, chunk_id, {', '.join('r_' + c for c in fusion.SCORES)}, rrf, place FROM fused",
         "p6_found": _ranked() + f" SELECT query_id, chunk_id FROM fused WHERE {first} AND query_id IN (SELECT query_id FROM fused GROUP BY query_id HAVING {alone})",
     }

@@ -104,3 +104,13 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
 
     long = chunks.select("chunk_id", "text").where(F.col("chunk_id").isNotNull() & (F.char_length("text") > limit))
     return long.groupBy("chunk_id").agg(F.min("text").alias("text")).mapInArrow(run, _OUT)
+
+
+def rejoined(parts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(chunk_id, text_md5, sound): each text put together again from its pieces without their repeats, and whether the pieces keep the rules:
+    at most `limit` characters, numbered 1 to num_parts, each the stretch it says it is, and the repeat of `overlap` characters (of all there are) equal."""
+    rows = parts.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("part", "num_parts", "start_char", "end_char", "text"))).alias("ps"))
+    whole = F.aggregate("ps", F.lit(""), lambda acc, p: F.concat(acc, F.substr(p["text"], F.char_length(acc) - p["start_char"] + 1)))
+    following = F.zip_with(F.slice("ps", F.lit(1), F.size("ps") - 1), F.slice("ps", F.lit(2), F.greatest(F.size("ps") - 1, F.lit(0))), lambda a, b: (b["part"] == a["part"] + 1) & (a["end_char"] - b["start_char"] == F.least(F.lit(overlap), a["end_char"])) & F.endswith(a["text"], F.substr(b["text"], F.lit(1), a["end_char"] - b["start_char"])))
+    each = F.forall("ps", lambda p: (F.char_length(p["text"]) <= limit) & (F.char_length(p["text"]) == p["end_char"] - p["start_char"]) & (p["num_parts"] == F.size("ps")))
+    return rows.select("chunk_id", F.md5(whole.cast("binary")).alias("text_md5"), (each & F.forall(following, lambda x: x) & (F.element_at("ps", 1)["part"] == 1)).alias("sound"))
