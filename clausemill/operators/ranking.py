@@ -29,16 +29,18 @@ def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) ->
     return sliced.withColumn("_own", own).join(ahead, ["_slice", *group]).withColumn(name, (F.col("_own") + F.col("_ahead")).cast("long")).drop("_own", "_ahead", "_slice")
 
 
-def running(df: DataFrame, order: str, values: list[str]) -> DataFrame:
-    """Running sums (sum_x for each x of `values`) over all rows in order of one column, equal ones counted together.
+def running(df: DataFrame, order: str, values: list[str], group: str | None = None) -> DataFrame:
+    """Running sums (sum_x for each x of `values`) over all rows, or the rows of each group, in order of one column, equal ones counted together.
 
-    Rows are range-partitioned by the column; every slice sums its own rows and the totals of the slices before it are added.
+    Rows are range-partitioned by group and order; every slice sums its own rows and the totals of the slices before it are added, so that no
+    task holds a whole hot group.
     """
-    sliced = staged(df.repartitionByRange(order).withColumn("_slice", F.spark_partition_id()), "running")
-    own = W.partitionBy("_slice").orderBy(order).rangeBetween(W.unboundedPreceding, 0)
-    totals = sliced.groupBy("_slice").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    # One row a slice: as many as shuffle partitions.
-    before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    ahead = totals.select("_slice", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
-    summed = sliced.select("*", *[F.sum(v).over(own).alias(f"sum_{v}") for v in values]).join(F.broadcast(ahead), "_slice")
+    by = [group] if group else []
+    sliced = staged(df.repartitionByRange(*by, order).withColumn("_slice", F.spark_partition_id()), "running")
+    own = W.partitionBy("_slice", *by).orderBy(order).rangeBetween(W.unboundedPreceding, 0)
+    totals = sliced.groupBy("_slice", *by).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    # One row a slice and group in it: not many more than there are shuffle partitions and groups.
+    before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    ahead = totals.select("_slice", *by, *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    summed = sliced.select("*", *[F.sum(v).over(own).alias(f"sum_{v}") for v in values]).join(ahead, ["_slice", *by])
     return summed.select(*df.columns, *[(F.col(f"sum_{v}") + F.col(f"_{v}")).alias(f"sum_{v}") for v in values])
