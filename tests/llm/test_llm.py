@@ -98,6 +98,13 @@ def test_packing_places_every_token_once(spark, ranks):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_containers_are_measured_against_the_proportions(spark):
+    df = documents(spark, [(i, "clause " * 60, "ab"[i % 4 == 0], "en", 1) for i in range(1200)])
+    got = {r.source: r for r in packing.mixture(packing.pack(df, group_rows=300)).collect()}
+    assert got["a"].target == 0.75 and got["b"].target == 0.25 and all(r.mean_gap < 0.1 and r.within_tenth > 0.7 for r in got.values())
+    assert packing.mixture(packing.pack(df.limit(0))).collect() == []
+
+
 def test_windows_follow_the_proportions():
     items = [(64, "a")] * 400 + [(64, "b")] * 1200
     placed = packing.fill(items, 1024, {"a": 0.25, "b": 0.75}, {})
@@ -147,6 +154,9 @@ def test_split_table(spark):
         assert [r.part for r in rows] == list(range(1, len(rows) + 1)) and all(r.num_parts == len(rows) and len(r.text) <= 4000 for r in rows)
         assert rows[0].text + "".join(r.text[200:] for r in rows[1:]) == ("y" * 9000 if c == "b" else "wort und " * 900)
         assert all(x.text[-200:] == y.text[:200] for x, y in zip(rows, rows[1:]))
+    import hashlib
+
+    assert {tuple(r) for r in splitting.rejoined(splitting.split_oversized(df)).collect()} == {(c, hashlib.md5(t.encode()).hexdigest(), True) for c, t in (("b", "y" * 9000), ("d", "wort und " * 900))}
     assert splitting.split_oversized(df.limit(0)).collect() == []
 
 
@@ -202,6 +212,13 @@ def test_look_alikes(spark):
     assert lookalikes.found(df.limit(0)).collect() == []
 
 
+def test_the_written_form_is_canonical(spark):
+    rows = [("a", "the Straße is long", None), ("b", "the Strａße is long", None), ("c", "ՕՕΡՏ and Ꭺct", None), ("d", "ｶﾞ 5 \u212a and № 7", None), ("e", "x² is ½ of ª … ™", None)]
+    df = chunk_rows(spark, rows + [(f"s{k}", "Strasse", None) for k in range(9)])
+    assert {(r.chunk_id, r.token, r.canonical) for r in lookalikes.rewrites(df).collect()} == {("b", "Strａße", "Straße"), ("c", "ՕՕΡՏ", "OOPS"), ("c", "Ꭺct", "Act"), ("d", "ｶﾞ", "ガ"), ("d", "\u212a", "K"), ("d", "№", "No")}
+    assert len(lookalikes.LOOKALIKE) == len(lookalikes.PLAIN) == len(set(lookalikes.LOOKALIKE))
+
+
 def test_fold_is_stable():
     for s in ("ＡΒс", "Общество", "a­́", "ﬁ x", "Ａ̈"):
         assert lookalikes.fold(lookalikes.fold(s)) == lookalikes.fold(s)
@@ -261,7 +278,8 @@ def test_slices_of_a_large_block(spark, monkeypatch):
 
 
 def test_hot_blocks_are_cut_into_slices(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET", 40)
+    for name, value in (("BUCKET", 20_000), ("PART", 100), ("HOT", 40)):
+        monkeypatch.setattr(neardup, name, value)
     rows = near_rows() + [(f"h{k:03}", " ".join([f"w{j}" for j in range(40)] + [f"x{k}y{j}" for j in range(k % 12)]), None) for k in range(120)]
     got = {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()}
     assert got == near_truth(rows) and len(got) > 5000
@@ -438,6 +456,22 @@ def test_languages(spark):
         assert 0 < r.confidence <= 1
 
 
+def test_texts_in_no_language_of_the_table(spark):
+    langs = spark.createDataFrame([("en", "English"), ("de", "German"), ("fr", "French")], "lang string, name string")
+    finnish = "tämä sopimus on laadittu kahtena samansisältöisenä kappaleena yksi kummallekin osapuolelle"
+    df = filed(spark, language_rows() + [(2000, finnish, "fi", 0.5), (2001, "\n\n".join([SAMPLES["en"], finnish]), "en", 0.5)])
+    got = {(r.doc_id, r.para_no): (r.lang, r.confidence) for r in language.segments(df, langs).where("doc_id >= 2000").collect()}
+    assert got[2000, 0][0] == got[2000, 1][0] == got[2001, 2][0] == "und" and got[2001, 0][0] == "en" and 0 < got[2000, 0][1] <= 1
+    assert not [r for r in language.wrong_labels(df, langs).collect() if r.doc_id >= 2000]
+
+
+def test_long_words_count_whole():
+    models = language.Models({"a": language.ContextTree(Counter({"ab": 5})), "b": language.ContextTree(Counter({"xy": 5}))})
+    head = "ab" * 20
+    bits, letters = models.measured([head + "xy" * 200, head, "ab cd"])
+    assert bits[0].argmin() == 1 and bits[1].argmin() == 0 and letters.tolist() == [440, 40, 4]
+
+
 def test_code_lengths_are_a_distribution():
     tree = language.ContextTree(Counter("abc abd abd xyz".split()))
     assert tree.bits("abd") < tree.bits("abc") < tree.bits("qqq")
