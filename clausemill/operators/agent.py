@@ -1,68 +1,31 @@
 """The bounded question-answering loop over many questions at once.
 
 State is rows keyed by query_id; each round is a few joins, and its result is written to the shared folder, so that lineage stays
-flat and a lost executor costs one round. The model behind the steps is a protocol; the one here is a set of rules, a
-stand-in and not the equal of a language model.
+flat and a lost executor costs one round. The model behind the steps is a protocol (see `models`).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
 from clausemill.operators import context as C
-from clausemill.operators import graph, retrieval, roster
+from clausemill.operators import index, retrieval, roster
+from clausemill.operators.models import Model, Rules
+from clausemill.operators.ranking import top_k
 from clausemill.sources.tables import staged
 
-#: Rounds at most, and kinds of questions.
+#: Fixed value: rounds at most.
 ROUNDS = 3
-QUERY_TYPES = ("factual", "definition", "multi_hop", "overview", "out_of_scope")
-
-
-class Model(Protocol):
-    """What the loop asks of a language model, as columns over many questions."""
-
-    def query_type(self, question: Column) -> Column: ...
-    def chosen(self, offered: DataFrame, questions: DataFrame) -> DataFrame: ...
-    def rewritten(self, question: Column, missing: Column) -> Column: ...
-    def answers(self, shown: DataFrame) -> DataFrame: ...
-
-
-class Rules:
-    """Offline rules: greetings are out of scope; a candidate is wanted if the question shares a token with its label or text; an
-    answer is the first sentence of each clause with its citation."""
-
-    def query_type(self, question: Column) -> Column:
-        q = F.lower(question)
-        return (
-            F.when(q.rlike(r"^\s*(?:hi|hello|hey|thanks|thank you)\b"), "out_of_scope")
-            .when(q.rlike(r"\b(?:define|definition|meaning|mean)\b"), "definition")
-            .when(q.rlike(r"\b(?:summar|overview|all of)"), "overview")
-            .when(q.rlike(r"\b(?:and|both|compare)\b.*\bsection|\bsection.*\band\b"), "multi_hop")
-            .otherwise("factual")
-        )
-
-    def chosen(self, offered: DataFrame, questions: DataFrame) -> DataFrame:
-        asked = offered.join(questions.select("query_id", T.tokens(F.col("raw_query")).alias("q")), "query_id")
-        return asked.where(F.arrays_overlap("q", T.tokens(F.lower("label"))) | F.arrays_overlap("q", T.tokens(F.col("text")))).select("query_id", "label")
-
-    def rewritten(self, question: Column, missing: Column) -> Column:
-        return F.concat_ws(" ", question, missing)
-
-    def answers(self, shown: DataFrame) -> DataFrame:
-        sentence = F.regexp_extract(F.coalesce("text", F.lit("")), r"^(?s)(.{1,300}?[.;:](?=\s|$)|.{1,300})", 1)
-        line = F.concat(F.lit("- "), sentence, F.lit(" "), T.citation(F.col("doc_id"), F.col("section_id")))
-        rows = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("ls"))
-        return rows.select("query_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("answer"))
+_NOTHING = "no clauses were retrieved for this question"
 
 
 @dataclass
 class Answered:
-    """questions: one row each with its outcome; context: what each gathered; answers; checks: citations and whether they hold; claims; log: one row a step."""
+    """questions: one row each with its outcome; context: what each gathered; answers; checks: citations and whether they hold; claims, with whether they are supported; log: one row a step."""
 
     questions: DataFrame
     context: DataFrame
@@ -73,13 +36,19 @@ class Answered:
 
 
 def plan(questions: DataFrame, entries: DataFrame, model: Model) -> DataFrame:
-    """(query_id, raw_query, query_type, needs_retrieval, doc_id, sections): a named agreement or section forces retrieval."""
+    """(query_id, raw_query, query_type, needs_retrieval, doc_id, sections, sub_queries): a named agreement or section forces retrieval.
+
+    A question that the model has no plan for, and one without searches, is searched as it is.
+    """
     named = questions.select("query_id", "raw_query").join(roster.resolve(questions, entries), "query_id", "left")
-    sections = T.named_sections(F.coalesce("raw_query", F.lit("")))
-    typed = named.withColumn("sections", sections).withColumn("query_type", model.query_type(F.coalesce("raw_query", F.lit(""))))
+    typed = named.join(model.plans(questions), "query_id", "left").withColumn("sections", T.named_sections(F.coalesce("raw_query", F.lit(""))))
     forced = F.col("doc_id").isNotNull() | (F.size("sections") > 0)
-    kind = F.when(forced & (F.col("query_type") == "out_of_scope"), "overview").otherwise(F.col("query_type"))
-    return typed.select("query_id", "raw_query", kind.alias("query_type"), (forced | (kind != "out_of_scope")).alias("needs_retrieval"), "doc_id", "sections")
+    kind = F.coalesce("query_type", F.lit("factual"))
+    searches = F.when(F.size(F.coalesce("sub_queries", F.array())) > 0, F.col("sub_queries")).otherwise(F.array("raw_query"))
+    return typed.select(
+        "query_id", "raw_query", F.when(forced & (kind == "out_of_scope"), "overview").otherwise(kind).alias("query_type"),
+        (forced | F.coalesce("needs_retrieval", F.lit(True))).alias("needs_retrieval"), "doc_id", "sections", searches.alias("sub_queries"),
+    )
 
 
 def route(sufficient: Column, iteration: Column, pulled: Column, strategy: Column, error: Column | None = None, cap: int = ROUNDS) -> Column:
@@ -89,58 +58,113 @@ def route(sufficient: Column, iteration: Column, pulled: Column, strategy: Colum
     return F.when(F.coalesce(stop, F.lit(False)), "generate").otherwise("refine")
 
 
+def search(active: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, pos, final, chunk_id): the hybrid search of each (query_id, pos, sub_query, doc_id): dense and BM25, fused and cut, in the named agreement where there is one."""
+    each = active.select(F.concat_ws("\x1f", "query_id", F.col("pos").cast("string")).alias("query_id"), F.col("sub_query").alias("raw_query"), "doc_id")
+    near = retrieval.dense_texts(each, vectors, index.EMBEDDERS[index.MODEL])
+    found = retrieval.hybrid(each, near, chunks, group=F.col("doc_id"))
+    return found.select(F.substring_index("query_id", "\x1f", 1).alias("query_id"), F.substring_index("query_id", "\x1f", -1).cast("int").alias("pos"), "final", F.col("key").alias("chunk_id"))
+
+
+def _judged(status: DataFrame, gathered: DataFrame, chunks: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """The checked questions (with sufficient and missing_info), and what they want and lack: (query_id, chunk_id, kind, place)."""
+    held = gathered.join(status.select("query_id"), "query_id", "left_semi")
+    refs = C.referenced_absent(held, chunks).withColumn("kind", F.lit(1))
+    defs = C.definitions_absent(held, chunks).withColumn("kind", F.lit(2))
+    offered = staged(refs.unionByName(defs), "agent_offered")
+    asked = status.select("query_id", "raw_query").join(C.prompt(C.prioritized(held), chunks), "query_id")
+    verdict = staged(model.judges(asked, offered.join(chunks.select("chunk_id", "text"), "chunk_id", "left").select("query_id", "label", "text")), "agent_verdict")
+    chosen = verdict.select("query_id", F.explode("wanted").alias("label")).distinct()
+    known = status.drop("sufficient", "missing_info").join(asked.select("query_id", F.lit(True).alias("some")), "query_id", "left").join(verdict.select("query_id", "sufficient", "missing_info"), "query_id", "left")
+    # Without clauses, or without a verdict, the loop goes on to the answer.
+    missing = F.when(F.col("some").isNull(), _NOTHING).otherwise(F.coalesce("missing_info", F.lit("the sufficiency check failed")))
+    return known.withColumn("missing_info", F.when(F.col("sufficient").isNull(), missing).otherwise(F.coalesce("missing_info", F.lit("")))).withColumn("sufficient", F.coalesce("sufficient", F.lit(True))).drop("some"), C.wanted(chosen, offered)
+
+
 def answer(questions: DataFrame, chunks: DataFrame, entries: DataFrame, model: Model | None = None, rounds: int = ROUNDS) -> Answered:
     """Answer all questions (query_id, raw_query), in at most `rounds` rounds.
 
-    Repeated query_ids count once; null questions are answered from nothing; empty tables give empty results.
+    Each round searches for those that are to be searched, checks what all open ones have, and either follows edges of the clause graph, or
+    has the question worded anew, or ends. Repeated query_ids count once; null questions are answered from nothing; empty tables
+    give empty results.
     """
     model = model or Rules()
     asked = staged(plan(questions.where("query_id is not null").groupBy("query_id").agg(F.min("raw_query").alias("raw_query")), entries, model), "agent_plan")
-    active = asked.where("needs_retrieval")
+    columns = {"section_title": "string", "path": "string"}
+    chunks = staged(chunks.select("*", *[F.lit(None).cast(k).alias(c) for c, k in columns.items() if c not in chunks.columns]), "agent_chunks")
+    vectors = staged(index.embed(chunks.withColumn("_text", T.embedding_text()), "chunk_id", "_text").join(chunks.select(F.col("chunk_id").alias("key"), F.col("doc_id").alias("own")), "key"), "agent_vectors")
+    needed = asked.where("needs_retrieval")
+    active = needed.select("query_id", "doc_id", F.posexplode("sub_queries").alias("pos", "sub_query"))
     # First round: sections named in a question about a known agreement are looked up, before what the search finds.
-    direct = active.where("doc_id is not null").select("query_id", "doc_id", F.posexplode("sections").alias("pos", "section_id"))
+    direct = needed.where("doc_id is not null").select("query_id", "doc_id", F.posexplode("sections").alias("pos", "section_id"))
     base = chunks.select("doc_id", "chunk_id", F.regexp_replace("section_id", r"__p\d+$", "").alias("section_id"), F.coalesce("part", F.lit(1)).alias("part"))
     looked = direct.join(base, ["doc_id", "section_id"]).groupBy("query_id", "pos").agg(F.min_by("chunk_id", "part").alias("chunk_id"))
-    found = retrieval.bm25(active, chunks, "chunk_id", T.indexed_text(), retrieval.TOP_K, group=F.col("doc_id"))
-    first = looked.select("query_id", F.col("pos").cast("long").alias("seq"), "chunk_id", F.lit("direct_lookup").alias("source")).unionByName(
-        found.select("query_id", (F.col("rank") + 1000).cast("long").alias("seq"), F.col("key").alias("chunk_id"), F.lit("search").alias("source"))
-    )
-    gathered = staged(C.merge(first), "agent_context")
-    log = [active.select("query_id", F.lit(1).alias("iteration"), F.lit("retrieve").alias("step"), F.lit(None).cast("string").alias("strategy"))]
-    status = staged(active.select("query_id", "raw_query", F.lit(1).alias("iteration"), F.lit("").alias("strategy"), F.lit(False).alias("sufficient"), F.lit(False).alias("done")), "agent_status")
-    texts = chunks.select("chunk_id", "doc_id", "section_id", "text")
-    for n in range(1, rounds + 1):
-        open_rows = status.where("not done")
-        held = gathered.join(open_rows.select("query_id"), "query_id", "left_semi")
-        refs = C.referenced_absent(held, chunks).withColumn("kind", F.lit(1))
-        defs = C.definitions_absent(held, chunks).withColumn("kind", F.lit(2))
-        offered = staged(refs.unionByName(defs), "agent_offered")
-        chosen = model.chosen(offered.join(texts.select("chunk_id", "text"), "chunk_id", "left"), open_rows)
-        pull = staged(C.wanted(chosen.distinct(), offered), "agent_wanted")
-        some = pull.groupBy("query_id").agg(F.count("*").alias("n"))
-        judged = open_rows.join(some, "query_id", "left").withColumn("pulled", F.col("n").isNotNull()).withColumn("sufficient", ~F.col("pulled"))
-        judged = judged.withColumn("step", route(F.col("sufficient"), F.col("iteration"), F.col("pulled"), F.col("strategy"), cap=rounds))
-        judged = staged(judged.drop("n"), "agent_judged")
-        log.append(judged.select("query_id", "iteration", F.lit("sufficiency").alias("step"), "strategy"))
-        more = pull.join(judged.where("step = 'refine'").select("query_id"), "query_id", "left_semi")
-        later = more.select("query_id", (F.lit(10_000 * n) + F.col("kind") * 1000 + F.col("place")).cast("long").alias("seq"), "chunk_id", F.lit("graph_traversal").alias("source"))
-        gathered = staged(C.merge(gathered.unionByName(later)), "agent_context")
-        refined = judged.select(
-            "query_id", "raw_query", (F.col("iteration") + F.when(F.col("step") == "refine", 1).otherwise(0)).alias("iteration"),
-            F.when(F.col("step") == "refine", "graph_traversal").otherwise(F.col("strategy")).alias("strategy"), "sufficient", (F.col("step") == "generate").alias("done"),
-        )
-        log.append(judged.where("step = 'refine'").select("query_id", "iteration", F.lit("refine").alias("step"), F.lit("graph_traversal").alias("strategy")))
-        status = staged(status.where("done").unionByName(refined), "agent_status")
-        if status.where("not done").isEmpty():
+    gathered = looked.select("query_id", F.col("pos").cast("long").alias("seq"), "chunk_id", F.lit("direct_lookup").alias("source"))
+    status = needed.select("query_id", "raw_query", "doc_id", F.lit(0).alias("iteration"), F.lit("").alias("strategy"), F.lit(None).cast("boolean").alias("sufficient"), F.lit("").alias("missing_info"), F.lit("search").alias("state"))
+    closed, log = None, []
+    for n in range(1, 2 * rounds + 1):
+        found = search(active, chunks, vectors).select("query_id", (n * 1_000_000 + F.col("pos") * 1000 + F.col("final")).cast("long").alias("seq"), "chunk_id", F.lit("search").alias("source"))
+        gathered = staged(C.merge(gathered.unionByName(found)), "agent_context")
+        status = status.withColumn("iteration", F.col("iteration") + F.when(F.col("state") == "search", 1).otherwise(0))
+        log.append(status.where("state = 'search'").select("query_id", "iteration", F.lit(4 * n).alias("at"), F.lit("retrieve").alias("step"), "strategy"))
+        judged, pull = _judged(status, gathered, chunks, model)
+        pull = staged(pull.join(gathered.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"), "agent_wanted")
+        judged = judged.join(pull.select("query_id").distinct().withColumn("pulled", F.lit(True)), "query_id", "left").withColumn("pulled", F.coalesce("pulled", F.lit(False)))
+        judged = staged(judged.withColumn("step", route(F.col("sufficient"), F.col("iteration"), F.col("pulled"), F.col("strategy"), cap=rounds)), "agent_judged")
+        log.append(judged.select("query_id", "iteration", F.lit(4 * n + 1).alias("at"), F.lit("sufficiency").alias("step"), "strategy"))
+        over = judged.where("step = 'generate'").select("query_id", "iteration", "strategy", "sufficient", "missing_info")
+        closed = over if closed is None else closed.unionByName(over)
+        more = judged.where("step = 'refine'")
+        if more.isEmpty():
             break
-    shown = staged(C.prioritized(gathered).join(texts, "chunk_id"), "agent_shown")
-    said = staged(model.answers(shown), "agent_answers")
-    checks = C.verify_citations(said, shown)
-    claims = C.claim_evidence(said, shown)
-    outcome = asked.join(status.select("query_id", "iteration", "sufficient"), "query_id", "left").join(said.select("query_id", F.lit(True).alias("answered")), "query_id", "left")
-    low = F.col("needs_retrieval") & (~F.coalesce("sufficient", F.lit(False)) | F.col("answered").isNull())
-    final = outcome.select("query_id", "query_type", "needs_retrieval", "doc_id", F.coalesce("iteration", F.lit(0)).alias("iteration"), "sufficient", low.alias("low_confidence"), F.when(low, "low").otherwise("high").alias("confidence"))
+        later = pull.join(more.select("query_id"), "query_id", "left_semi")
+        later = later.select("query_id", (n * 1_000_000 + 500_000 + F.col("kind") * 1000 + F.col("place")).cast("long").alias("seq"), "chunk_id", F.lit("graph_traversal").alias("source"))
+        gathered = gathered.unionByName(later)
+        # Edges first; a question that has none to follow is worded anew and searched again.
+        before = active.groupBy("query_id").agg(F.min_by("sub_query", "pos").alias("previous"))
+        again = more.where("not pulled").join(before, "query_id", "left").select("query_id", "raw_query", F.coalesce("previous", "raw_query").alias("previous"), "missing_info", "doc_id")
+        worded = again.join(model.rewrites(again), "query_id", "left")
+        active = staged(worded.select("query_id", "doc_id", F.lit(0).alias("pos"), F.coalesce(F.nullif(F.trim("rewritten"), F.lit("")), F.concat_ws(" ", "raw_query", "missing_info")).alias("sub_query")), "agent_active")
+        strategy = F.when(F.col("pulled"), "graph_traversal").otherwise("query_rewrite")
+        log.append(more.select("query_id", "iteration", F.lit(4 * n + 2).alias("at"), F.lit("refine").alias("step"), strategy.alias("strategy")))
+        status = staged(more.select("query_id", "raw_query", "doc_id", (F.col("iteration") + F.col("pulled").cast("int")).alias("iteration"), strategy.alias("strategy"), "sufficient", "missing_info", F.when(F.col("pulled"), "judge").otherwise("search").alias("state")), "agent_status")
+    ended = staged(closed, "agent_ended")
     steps = log[0]
     for x in log[1:]:
         steps = steps.unionByName(x)
-    return Answered(final, gathered, said, checks, claims, steps)
+    return _answered(asked, ended, gathered, chunks, entries, model, steps)
+
+
+def _answered(asked: DataFrame, ended: DataFrame, gathered: DataFrame, chunks: DataFrame, entries: DataFrame, model: Model, steps: DataFrame) -> Answered:
+    """The answers of the three kinds of questions, their citations checked against what was shown, and their claims against what they cite."""
+    shown = staged(C.prioritized(gathered).join(chunks.select("chunk_id", "doc_id", "section_id", "section_title", "path", "text"), "chunk_id"), "agent_shown")
+    state = asked.join(ended, "query_id", "left").join(shown.select("query_id").distinct().withColumn("some", F.lit(True)), "query_id", "left")
+    low = F.col("needs_retrieval") & (~F.coalesce("sufficient", F.lit(False)) | F.col("some").isNull())
+    state = staged(state.withColumn("low", low), "agent_state")
+    normal = state.where("needs_retrieval and some")
+    prompt = C.prompt(shown, chunks)
+    said = model.answers(normal.select("query_id", "raw_query", F.when(F.col("low"), F.col("missing_info")).alias("missing_info")).join(prompt, "query_id"), shown)
+    # Every agreement on one line, once for all questions that need none.
+    lines = top_k(roster.listing(entries).withColumn("all", F.lit(1)), ["all"], [F.col("doc_id")], 2**31 - 1, "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("lines"))
+    kept = state.join(said, "query_id", "left").crossJoin(F.broadcast(lines))
+    failed = F.col("needs_retrieval") & F.col("some").isNotNull() & F.col("answer").isNull()
+    answer_ = (
+        F.when(~F.col("needs_retrieval"), F.concat(F.lit("The library holds these agreements:\n\n"), F.coalesce("lines", F.lit("")), F.lit("\n\nAsk what one of them says about a duty, a term, an end, a payment or a reference.")))
+        .when(F.col("some").isNull(), F.lit("Nothing in the agreements was found for this. Name the company, the section or the term that the clause would use."))
+        .otherwise(F.coalesce("answer", F.lit("No answer could be made from the clauses.")))
+    )
+    summary = F.when(~F.col("needs_retrieval"), "Only what the agreements say can be answered here.").when(F.col("some").isNull(), "No clause was found for this question.").otherwise(F.coalesce("summary", F.lit("")))
+    confidence = F.when(~F.col("needs_retrieval"), "high").when(F.col("low") | failed, "low").otherwise(F.coalesce("confidence", F.lit("low")))
+    answered = staged(kept.select("query_id", summary.alias("summary"), answer_.alias("answer"), confidence.alias("confidence"), failed.alias("failed")), "agent_answers")
+    whole = answered.select("query_id", F.concat_ws("\n", F.nullif("summary", F.lit("")), "answer").alias("answer"))
+    checks = staged(C.verify_citations(whole, shown), "agent_checks")
+    unsound = checks.where("not verified").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", T.citation(F.col("doc_id"), F.col("section_id")).alias("tag")))).alias("u"))
+    warning = F.concat(F.lit("\n\nThese citations name no clause that was found, and could not be checked: "), F.array_join(F.transform("u", lambda x: x["tag"]), ", "))
+    final = answered.join(unsound, "query_id", "left").select("query_id", "summary", F.concat("answer", F.coalesce(warning, F.lit(""))).alias("answer"), "confidence", F.transform(F.coalesce("u", F.array().cast("array<struct<place:int,tag:string>>")), lambda x: x["tag"]).alias("unverified_citations"))
+    claims = C.claim_evidence(whole, shown)
+    cited = claims.join(chunks.select("chunk_id", F.col("text").alias("evidence")), "chunk_id").groupBy("query_id", "claim_no", "claim").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence"))), lambda x: x["evidence"]), "\n\n").alias("evidence"))
+    held = claims.join(model.checks(cited), ["query_id", "claim_no"], "left")
+    outcome = state.join(answered.select("query_id", "confidence", "failed"), "query_id").select(
+        "query_id", "query_type", "needs_retrieval", "doc_id", F.coalesce("iteration", F.lit(0)).alias("iteration"), F.nullif("strategy", F.lit("")).alias("strategy"), "sufficient", (F.col("low") | F.col("failed")).alias("low_confidence"), "confidence",
+    )
+    return Answered(outcome, gathered, final, checks, held, steps)

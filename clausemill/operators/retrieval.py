@@ -223,6 +223,44 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_N, same_group: bo
     return top_k(parts, ["query_vec"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
+def dense_texts(questions: DataFrame, vectors: DataFrame, embedder: Callable[[list[str]], np.ndarray], k: int = TOP_N) -> DataFrame:
+    """(query_id, key, rank): the k nearest texts of each question (query_id, raw_query, doc_id) by the embedder, in the agreement doc_id where it is not null.
+
+    vectors has key, own (the agreement) and embedding. Questions are embedded on the driver in blocks of QUERY_BLOCK; each task keeps k a question.
+    """
+
+    def block(asked: list) -> DataFrame:
+        q = np.asarray(embedder([r["raw_query"] or "" for r in asked]), np.float64)
+        of = np.array([r["doc_id"] for r in asked], object)
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], object), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), of))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, unit, of = shared.value
+            best = _Best(len(names), k)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2048):
+                    part = batch.slice(lo, 2048)
+                    keys, own = (np.array(part.column(i).to_pylist(), object) for i in (0, 1))
+                    v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                    score = np.round(unit @ v.T, 9)
+                    allowed = (of[:, None] == None) | (of[:, None] == own[None, :])  # noqa: E711
+                    rows, cols = np.nonzero(allowed & (score >= best.floor[:, None]))
+                    best.add(rows, score[rows, cols], keys[cols])
+            rows, score, keys = best.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.string()), pa.array(keys, pa.string()), pa.array(score, pa.float64())], names=["query_id", "key", "score"])
+
+        return vectors.where("embedding is not null").select("key", "own", "embedding").mapInArrow(run, "query_id string, key string, score double")
+
+    parts, held = vectors.sparkSession.createDataFrame([], "query_id string, key string, score double"), []
+    for row in questions.where("query_id is not null").select("query_id", "raw_query", "doc_id").toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            parts, held = parts.unionByName(block(held)), []
+    parts = parts.unionByName(block(held)) if held else parts
+    return top_k(parts, ["query_id"], [F.col("score").desc(), F.col("key")], k).select("query_id", "key", "rank")
+
+
 # --- fusion and reranking -----------------------------------------------------------------------------------------
 
 
@@ -265,10 +303,11 @@ def reranker(name: str) -> Reranker:
     return RERANKERS[name]
 
 
-def hybrid(questions: DataFrame, dense_list: DataFrame, chunks: DataFrame, use_dense: bool = True, use_sparse: bool = True, rerank: str = "none", top_n: int = TOP_N, top_n_k: int = TOP_K, weights: dict[str, float] | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, dense_list: DataFrame, chunks: DataFrame, use_dense: bool = True, use_sparse: bool = True, rerank: str = "none", top_n: int = TOP_N, top_n_k: int = TOP_K, weights: dict[str, float] | None = None, group: Column | None = None) -> DataFrame:
     """(query_id, key, fused_score, best_rank, place, rerank_score, final): dense and BM25 lists fused, cut to top_n, reranked, cut to top_n_k.
 
-    dense_list has query_id, key and rank. Switching both retrievers off is an error.
+    dense_list has query_id, key and rank. With `group`, questions that have a doc_id are searched in that group only (see `bm25`). Switching both
+    retrievers off is an error.
     """
     if not (use_dense or use_sparse):
         raise ValueError("at least one retriever must be on")
@@ -276,7 +315,7 @@ def hybrid(questions: DataFrame, dense_list: DataFrame, chunks: DataFrame, use_d
     if use_dense:
         lists.append(dense_list.where(F.col("rank") <= top_n).select("query_id", "key", F.lit("dense").alias("retriever"), "rank"))
     if use_sparse:
-        lists.append(bm25(questions, chunks, "chunk_id", T.indexed_text(), top_n).select("query_id", "key", F.lit("sparse").alias("retriever"), "rank"))
+        lists.append(bm25(questions, chunks, "chunk_id", T.indexed_text(), top_n, group).select("query_id", "key", F.lit("sparse").alias("retriever"), "rank"))
     both = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     fused = reciprocal_ranks(both, weights).where(F.col("place") <= top_n)
     held = fused.join(chunks.select(F.col("chunk_id").alias("key"), "text"), "key", "left").join(questions.select("query_id", "raw_query"), "query_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
-from clausemill.operators import agent, context, graph, index, orphans, parsing, retrieval, roster, traces
+from clausemill.operators import agent, context, graph, index, models, orphans, parsing, retrieval, roster, traces
 from clausemill.operators.ranking import numbered, top_k
 from clausemill.plans import contracts
 from clausemill.sources.tables import staged, table
@@ -185,8 +185,18 @@ def _sections(s: SparkSession, d: str) -> DataFrame:
     return numbered(one, ["doc_id"], [F.col("section_id")], "place").select("doc_id", "place", "section_id", "kind", "level")
 
 
-def _agent(s: SparkSession, d: str) -> DataFrame:
-    return agent.answer(_questions(s, d).select("query_id", "raw_query"), _chunks(s, d), roster.roster(table(s, d, "manifest"))).questions
+def _agent(s: SparkSession, d: str, model: models.Model | None = None) -> agent.Answered:
+    chunks = _chunks(s, d, "doc_id", "part", "path", *_TEXT, *_LISTS)
+    return agent.answer(_questions(s, d).select("query_id", "raw_query"), chunks, roster.roster(table(s, d, "manifest")), model)
+
+
+def _script() -> models.Scripted:
+    """A model for the loop alone: questions with an even last digit need no search; nothing is ever enough, and nothing offered is wanted."""
+    needs = ~F.substring("query_id", -1, 1).isin("0", "2", "4", "6", "8")
+    return models.Scripted(
+        plans=lambda q: q.select("query_id", F.when(needs, "factual").otherwise("out_of_scope").alias("query_type"), needs.alias("needs_retrieval"), F.array("raw_query").alias("sub_queries")),
+        judges=lambda q, offered: q.select("query_id", F.lit(False).alias("sufficient"), F.lit("the rest").alias("missing_info"), F.array(F.lit("invented §9.9")).alias("wanted")),
+    )
 
 
 def _roster(s: SparkSession, d: str) -> DataFrame:
@@ -258,5 +268,8 @@ def queries() -> dict[str, Query]:
         "q42_usage_rollup": lambda s, d: traces.usage(table(s, d, "events")),
         "q42_latency_by_node": lambda s, d: traces.latency(table(s, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("node"), F.col("value").alias("latency_ms"))),
         "q43_rate_window": lambda s, d: traces.rate(table(s, d, "events")),
-        "q44_agent_outcomes": _agent,
+        "q44_agent_outcomes": lambda s, d: _agent(s, d).questions,
+        "q44_agent_context": lambda s, d: _agent(s, d).context,
+        "q44_scripted_outcomes": lambda s, d: _agent(s, d, _script()).questions.select("query_id", "query_type", "needs_retrieval", "iteration", "strategy", "sufficient", "low_confidence", "confidence"),
+        "q44_scripted_log": lambda s, d: _agent(s, d, _script()).log.select("query_id", "iteration", "step", "strategy"),
     }

@@ -258,5 +258,10 @@ SELECT query_id, unnest(range(len(ns)))::INT AS step, unnest(ns) AS node FROM st
         "q42_usage_rollup": "SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1",
         "q43_rate_window": "SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS tokens FROM events WHERE ts IS NOT NULL WINDOW w AS (ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)",
     }
+    named = f"WITH qs AS ({_QUESTIONS}), s AS (SELECT query_id, len(regexp_extract_all(coalesce(raw_query, ''), '{T.NAMED_SECTION}')) > 0 AS named, right(query_id, 1) NOT IN ('0', '2', '4', '6', '8') AS odd FROM qs)"
+    every["q44_scripted_outcomes"] = named + """ SELECT query_id, CASE WHEN odd THEN 'factual' WHEN named THEN 'overview' ELSE 'out_of_scope' END AS query_type, odd OR named AS needs_retrieval, CASE WHEN odd OR named THEN 2 ELSE 0 END AS iteration,
+  CASE WHEN odd OR named THEN 'query_rewrite' END AS strategy, CASE WHEN odd OR named THEN FALSE END AS sufficient, odd OR named AS low_confidence, CASE WHEN odd OR named THEN 'low' ELSE 'high' END AS confidence FROM s"""
+    every["q44_scripted_log"] = named + """ SELECT query_id, n AS iteration, step, CASE WHEN n = 1 AND step <> 'refine' THEN '' ELSE 'query_rewrite' END AS strategy FROM s,
+  (VALUES (1, 'retrieve'), (1, 'sufficiency'), (1, 'refine'), (2, 'retrieve'), (2, 'sufficiency')) AS t(n, step) WHERE odd OR named"""
     every["q12_index_plan_summary"] = f"SELECT action, count(*) AS chunks, sum(tokens)::BIGINT AS tokens, round(sum(tokens) / 10000.0::DOUBLE, 6) AS minutes FROM ({every['q12_index_plan']}) GROUP BY 1"
     return every

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
-from clausemill.operators import agent, context, graph, index, orphans, ranking, retrieval, roster, traces
+from clausemill.operators import agent, context, graph, index, models, orphans, ranking, retrieval, roster, traces
 from clausemill.operators.joins import salted_join
 
 DAY = datetime(2024, 1, 1)
@@ -344,6 +344,75 @@ def test_agent_follows_edges(spark):
     assert agent.answer(q.limit(0), chunks, entries).questions.collect() == []
 
 
+CLAUSES = "chunk_id string, doc_id string, section_id string, section_title string, text string, part int, cross_reference_ids array<string>, defined_terms_used array<string>, definition_ids array<string>"
+
+
+def clauses(spark):
+    rows = [(f"d__sec_{k}", "d", str(k), "Payment", f"Clause {k}: the fee number {k} is due.", 1, ["d__sec_9"] if k == 1 else [], [], []) for k in range(1, 10)]
+    entries = spark.createDataFrame([("d", "Acmeworks INC", "Agreement", "t")], "doc_id string, company string, kind string, title string")
+    return spark.createDataFrame(rows, CLAUSES), entries
+
+
+def test_a_hosted_model_and_its_failures(spark):
+    import json
+
+    asked = []
+
+    def complete(system, user):
+        if "what kind of question" in system:
+            return json.dumps({"query_type": "factual", "needs_retrieval": "hello" not in user, "sub_queries": ["fee number 1", "fee number 2"]}) if "broken" not in user else "no JSON at all"
+        if "Decide whether" in system:
+            assert "[d §" in user
+            return 'Sure: {"sufficient": false, "missing_info": "clause 9", "wanted": ["d §9", "made up"]}' if "Labels offered" in user else '{"sufficient": true, "wanted": []}'
+        if "Word it anew" in system:
+            return '{"rewritten": "due fee"}'
+        if "Answer from the clauses" in system:
+            if "broken" in user:
+                raise RuntimeError("no model")
+            return json.dumps({"summary": "The fee is due [d §1].", "answer": "- Fee 1 is due [d §1].\n- Fee 77 is due [d §77].", "confidence": "high"})
+        return json.dumps({"supported": "77" not in user})
+
+    chunks, entries = clauses(spark)
+    q = spark.createDataFrame([("q1", "Which fee?"), ("q2", "hello"), ("q3", "broken fee number 1")], "query_id string, raw_query string")
+    got = agent.answer(q, chunks, entries, models.Prompted(complete))
+    outcome = {r.query_id: r for r in got.questions.collect()}
+    said = {r.query_id: r for r in got.answers.collect()}
+    assert outcome["q1"].needs_retrieval and not outcome["q2"].needs_retrieval and outcome["q3"].needs_retrieval and asked == []
+    assert said["q2"].confidence == "high" and "Acmeworks INC" in said["q2"].answer and outcome["q2"].iteration == 0
+    assert said["q1"].unverified_citations == ["[d §77]"] and said["q1"].answer.endswith("could not be checked: [d §77]")
+    assert said["q3"].confidence == "low" and outcome["q3"].low_confidence and "No answer" in said["q3"].answer
+    assert {r.supported for r in got.claims.where("query_id = 'q1'").collect()} == {True}
+    assert ("q1", "d__sec_9") in {(r.query_id, r.chunk_id) for r in got.context.collect()}
+
+
+def test_a_question_is_worded_anew_and_ends(spark):
+    chunks, entries = clauses(spark)
+    script = models.Scripted(
+        judges=lambda q, offered: q.select("query_id", F.lit(False).alias("sufficient"), F.lit("rest").alias("missing_info"), F.array().cast("array<string>").alias("wanted")),
+        rewrites=lambda q: q.select("query_id", F.lit("fee number 7").alias("rewritten")).limit(0),
+    )
+    q = spark.createDataFrame([("q1", "clause 3"), ("q2", None)], "query_id string, raw_query string")
+    got = agent.answer(q, chunks, entries, script)
+    steps = [(r.step, r.iteration, r.strategy) for r in got.log.where("query_id = 'q1'").orderBy("at").collect()]
+    assert steps == [("retrieve", 1, ""), ("sufficiency", 1, ""), ("refine", 1, "query_rewrite"), ("retrieve", 2, "query_rewrite"), ("sufficiency", 2, "query_rewrite")]
+    one = got.questions.where("query_id = 'q1'").first()
+    assert one.low_confidence and one.confidence == "low" and not one.sufficient
+    empty = agent.answer(q, chunks.limit(0), entries)
+    assert {(r.confidence, r.low_confidence) for r in empty.questions.collect()} == {("low", True)} and all("Nothing" in r.answer for r in empty.answers.collect())
+    assert agent.answer(q.limit(0), chunks, entries).answers.collect() == []
+
+
+def test_rules_check_claims(spark):
+    rows = [("q", 0, "The fee is due [d §1].", "a fee is due"), ("q", 1, "The moon is made of cheese [d §1].", "a fee is due")]
+    got = models.Rules().checks(spark.createDataFrame(rows, "query_id string, claim_no int, claim string, evidence string")).collect()
+    assert {(r.claim_no, r.supported) for r in got} == {(0, True), (1, False)}
+    long = "x" * 500 + ". More."
+    shown = spark.createDataFrame([("q", 1, "d", "1", long)], "query_id string, place int, doc_id string, section_id string, text string")
+    assert models.Rules().answers(shown, shown).first().answer == f"- {'x' * 500}. [d §1]"
+    plans = models.Rules().plans(spark.createDataFrame([("q", "What is due; who pays?")], "query_id string, raw_query string")).first()
+    assert plans.sub_queries == ["What is due", "who pays?"]
+
+
 def test_agent_searches_the_named_agreement(spark):
     rows = [(f"{d}__sec_{k}", d, str(k), "Payment", "When is payment due? Payment is due now." if d == "e" else "A fee for payment.", 1, [], [], []) for d in ("d", "e") for k in range(1, 9)]
     chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, section_id string, section_title string, text string, part int, cross_reference_ids array<string>, defined_terms_used array<string>, definition_ids array<string>")
