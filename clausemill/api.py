@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import queue
+import threading
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,22 +30,49 @@ class Service:
         self.traces = table(spark, tables, "traces")
         self.roster = roster.roster(table(spark, tables, "manifest"))
 
-    def query(self, questions: DataFrame) -> agent.Answered:
+    def query(self, questions: DataFrame, tell: Callable[[DataFrame], None] | None = None) -> agent.Answered:
         """Answer questions (query_id, raw_query) of 1 to 2000 characters."""
         if not questions.where(~F.char_length(F.coalesce("raw_query", F.lit(""))).between(1, MOST_CHARS)).isEmpty():
             raise ValueError(f"a question has 1 to {MOST_CHARS} characters")
-        return agent.answer(questions, self.chunks, self.roster)
+        return agent.answer(questions, self.chunks, self.roster, tell=tell)
+
+    def stream(self, questions: DataFrame, log: str | None = None) -> Iterator[dict]:
+        """start, then the steps of each question round by round while the loop goes on, then an answer each, then done; or error.
+
+        With `log`, steps and answers are written there as trace updates before they are given out.
+        """
+        told: queue.Queue = queue.Queue()
+
+        def run() -> None:
+            try:
+                told.put(("answers", self.query(questions, lambda steps: told.put(("steps", steps))).answers))
+            except Exception as error:  # the stream tells of it instead of breaking off
+                told.put(("error", error))
 
-    def stream(self, questions: DataFrame) -> Iterator[dict]:
-        """start, then each step of each question, then done or error. The steps are written before they are given out."""
         yield {"event": "start"}
+        worker = threading.Thread(target=run, daemon=True)
+        worker.start()
+        seq, kind = 0, "steps"
         try:
-            got = self.query(questions)
-            for row in got.log.orderBy("query_id", "iteration", F.expr("array_position(array('retrieve','sufficiency','refine'), step)")).toLocalIterator():
-                yield {"event": "node", **row.asDict()}
+            while kind == "steps":
+                kind, rows = told.get()
+                if kind == "error":
+                    raise rows
+                seq += 1
+                if kind == "steps":
+                    rows = rows.orderBy("at", "query_id")
+                    updates = traces.updates_of(rows.select("query_id", "iteration", F.col("strategy").alias("refine_strategy")), "loop", seq)
+                else:
+                    rows = rows.orderBy("query_id")
+                    updates = traces.updates_of(rows.select("query_id", "summary", F.col("answer").alias("final_answer"), "confidence", "unverified_citations"), "generate", seq)
+                if log:
+                    updates.write.mode("append").parquet(log)
+                for row in rows.toLocalIterator():
+                    yield {"event": "node" if kind == "steps" else "answer", **row.asDict()}
             yield {"event": "done"}
-        except Exception as error:  # the stream tells of it instead of breaking off
+        except Exception as error:
             yield {"event": "error", "error": str(error)}
+        worker.join()
 
     def documents(self) -> DataFrame:
         counts = self.chunks.groupBy("doc_id").agg(F.count("*").alias("num_chunks"))
@@ -95,5 +124,15 @@ def build_index(spark: SparkSession, tables: str, path: str, dry_run: bool = Fal
 
 
 def format_trace(row: dict) -> str:
-    """A stored trace as lines for reading."""
-    return "\n".join(f"{k:>16}  {v}" for k, v in row.items() if v is not None)
+    """A stored trace for reading: what was asked, how it went, and the answer, each under its heading; empty values are left out."""
+    parts = {
+        "Question": ("raw_query", "query_type", "doc_id", "sub_queries"), "Course": ("status", "last_node", "iteration", "sufficient", "missing_info", "refine_strategy", "latency_ms", "token_usage", "error"),
+        "Answer": ("summary", "final_answer", "citations", "unverified_citations", "confidence", "faithfulness"),
+    }
+    known = {k for keys in parts.values() for k in keys}
+    parts["Other"] = tuple(k for k in row if k not in known)
+    lines = []
+    for heading, keys in parts.items():
+        held = [f"  {k}: {row[k]}" for k in keys if row.get(k) not in (None, "", [], {})]
+        lines += [heading, *held] if held else []
+    return "\n".join(lines)

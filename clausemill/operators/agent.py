@@ -6,6 +6,7 @@ flat and a lost executor costs one round. The model behind the steps is a protoc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,11 +82,11 @@ def _judged(status: DataFrame, gathered: DataFrame, chunks: DataFrame, model: Mo
     return known.withColumn("missing_info", F.when(F.col("sufficient").isNull(), missing).otherwise(F.coalesce("missing_info", F.lit("")))).withColumn("sufficient", F.coalesce("sufficient", F.lit(True))).drop("some"), C.wanted(chosen, offered)
 
 
-def answer(questions: DataFrame, chunks: DataFrame, entries: DataFrame, model: Model | None = None, rounds: int = ROUNDS) -> Answered:
+def answer(questions: DataFrame, chunks: DataFrame, entries: DataFrame, model: Model | None = None, rounds: int = ROUNDS, tell: Callable[[DataFrame], None] | None = None) -> Answered:
     """Answer all questions (query_id, raw_query), in at most `rounds` rounds.
 
     Each round searches for those that are to be searched, checks what all open ones have, and either follows edges of the clause graph, or
-    has the question worded anew, or ends. Repeated query_ids count once; null questions are answered from nothing; empty tables
+    has the question worded anew, or ends; `tell` gets the steps of each round when they are done. Repeated query_ids count once; null questions are answered from nothing; empty tables
     give empty results.
     """
     model = model or Rules()
@@ -115,6 +116,8 @@ def answer(questions: DataFrame, chunks: DataFrame, entries: DataFrame, model: M
         over = judged.where("step = 'generate'").select("query_id", "iteration", "strategy", "sufficient", "missing_info")
         closed = over if closed is None else closed.unionByName(over)
         more = judged.where("step = 'refine'")
+        if tell:
+            tell(log[-2].unionByName(log[-1]))
         if more.isEmpty():
             break
         later = pull.join(more.select("query_id"), "query_id", "left_semi")

@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` of the session, a temporary one only where it is unset."""
+    """The folder all executors share: `spark.checkpoint.dir` of the session. Only a session that runs on one machine may leave it unset, and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_clausemill_dir", None)
     if own is None:
         own = spark._clausemill_dir = "file://" + tempfile.mkdtemp(prefix="clausemill_")
@@ -36,7 +38,8 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _drop_all() -> None:
+def drop_staged() -> None:
+    """Drop every staged table: at the end of the program by itself, earlier when all results made so far have been read or written."""
     while _made:
         _drop(*_made.pop())
 
@@ -44,7 +47,7 @@ def _drop_all() -> None:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage in a way that survives the loss of executors; the files are dropped when the driver ends.
+    Cuts the lineage in a way that survives the loss of executors; the files stay until `drop_staged`, or until the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
