@@ -51,6 +51,18 @@ def content_hash(text: Column, model: str) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(model), F.lit("\x00"), text), 256), 1, 32)
 
 
+def on_one_line(text: Column) -> Column:
+    """The text with blanks for line ends, as embedders that mind them want it."""
+    return F.regexp_replace(text, "\n", " ")
+
+
+def point_id(chunk: Column, namespace: str) -> Column:
+    """The version 5 UUID of a chunk id in a namespace, for stores whose keys are UUIDs."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(chunk, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.substring(variant, -1, 1), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 def estimated_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), (F.floor(F.char_length(F.coalesce(text, F.lit(""))) / 4) + 1).cast("int"))
 

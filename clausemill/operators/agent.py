@@ -41,8 +41,12 @@ def plan(questions: DataFrame, entries: DataFrame, model: Model) -> DataFrame:
 
     A question that the model has no plan for, and one without searches, is searched as it is.
     """
-    named = questions.select("query_id", "raw_query").join(roster.resolve(questions, entries), "query_id", "left")
-    typed = named.join(model.plans(questions), "query_id", "left").withColumn("sections", T.named_sections(F.coalesce("raw_query", F.lit(""))))
+    plans = model.plans(questions)
+    named = questions.select("query_id", "raw_query").join(roster.resolve(questions, entries).select("query_id", "doc_id"), "query_id", "left")
+    if "doc_id" in plans.columns:  # an agreement that the model names counts where the question names none, and only if there is such a one
+        proposed = plans.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select("query_id", F.col("doc_id").alias("proposed"))
+        named = named.join(proposed, "query_id", "left").select("query_id", "raw_query", F.coalesce("doc_id", "proposed").alias("doc_id"))
+    typed = named.join(plans.select("query_id", "query_type", "needs_retrieval", "sub_queries"), "query_id", "left").withColumn("sections", T.named_sections(F.coalesce("raw_query", F.lit(""))))
     forced = F.col("doc_id").isNotNull() | (F.size("sections") > 0)
     kind = F.coalesce("query_type", F.lit("factual"))
     searches = F.when(F.size(F.coalesce("sub_queries", F.array())) > 0, F.col("sub_queries")).otherwise(F.array("raw_query"))
@@ -62,7 +66,7 @@ def route(sufficient: Column, iteration: Column, pulled: Column, strategy: Colum
 def search(active: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, pos, final, chunk_id): the hybrid search of each (query_id, pos, sub_query, doc_id): dense and BM25, fused and cut, in the named agreement where there is one."""
     each = active.select(F.concat_ws("\x1f", "query_id", F.col("pos").cast("string")).alias("query_id"), F.col("sub_query").alias("raw_query"), "doc_id")
-    near = retrieval.dense_texts(each, vectors, index.EMBEDDERS[index.MODEL])
+    near = retrieval.dense_texts(each, vectors, index.embedder(index.MODEL))
     found = retrieval.hybrid(each, near, chunks, group=F.col("doc_id"))
     return found.select(F.substring_index("query_id", "\x1f", 1).alias("query_id"), F.substring_index("query_id", "\x1f", -1).cast("int").alias("pos"), "final", F.col("key").alias("chunk_id"))
 

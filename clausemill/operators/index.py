@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,11 +82,12 @@ def packed_parts(chunks: DataFrame, limit: int = S.CHUNK_CHARS) -> DataFrame:
 
 # --- embedders ----------------------------------------------------------------------------------------------------
 
-Embedder = Callable[[list[str]], np.ndarray]
+#: Takes texts and says what they are for, "document" or "query"; models that tell the two apart embed them differently.
+Embedder = Callable[[list[str], str], np.ndarray]
 
 
-def hashing_embedder(texts: list[str]) -> np.ndarray:
-    """An offline embedder: signed hashing of words into DIMENSIONS, unit length. Deterministic; it stands in for a hosted model."""
+def hashing_embedder(texts: list[str], mode: str = "document") -> np.ndarray:
+    """An offline embedder: signed hashing of words into DIMENSIONS, unit length, the same for documents and queries. Deterministic; it stands in for a hosted model."""
     import re
     import zlib
 
@@ -101,13 +103,52 @@ def hashing_embedder(texts: list[str]) -> np.ndarray:
 EMBEDDERS: dict[str, Embedder] = {MODEL: hashing_embedder}
 
 
-def embed(texts: DataFrame, key: str, text: str, model: str = MODEL) -> DataFrame:
+def embedder(model: str) -> Embedder:
+    """An embedder by name; hosted ones can be added to EMBEDDERS."""
+    if model not in EMBEDDERS:
+        raise ValueError(f"no embedder {model!r}; there are {sorted(EMBEDDERS)}")
+    return EMBEDDERS[model]
+
+
+def request_tokens(tokens_per_minute: int, requests_per_minute: int) -> int:
+    """Tokens of one request, so that a minute's requests use nine tenths of a minute's tokens; at least 1,000."""
+    return max(1000, tokens_per_minute * 9 // (10 * max(1, requests_per_minute)))
+
+
+class Pace:
+    """Keeps the calls of one process under so many requests and tokens in any 60 seconds: `wait` sleeps until a call of some tokens fits.
+
+    A call with more tokens than a minute allows goes alone, once the minute before it is empty. The windows of a whole log are `traces.rate`.
+    """
+
+    def __init__(self, requests: int, tokens: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.most = np.array([requests, tokens], np.int64)
+        self.clock, self.sleep = clock, sleep
+        self.at, self.cost = np.zeros(0), np.zeros((0, 2), np.int64)
+
+    def wait(self, tokens: int) -> float:
+        """Seconds slept."""
+        now = self.clock()
+        recent = self.at > now - 60
+        self.at, self.cost = self.at[recent], self.cost[recent]
+        call = np.minimum([1, tokens], self.most)
+        # What the window still holds after the first k calls have left it; the call starts when it fits.
+        left = self.cost.sum(axis=0) - np.vstack([np.zeros((1, 2), np.int64), self.cost.cumsum(axis=0)])
+        k = int(np.argmax((left + call <= self.most).all(axis=1)))
+        pause = float(self.at[k - 1] + 60 - now) if k else 0.0
+        if pause > 0:
+            self.sleep(pause)
+        self.at, self.cost = np.append(self.at, now + max(0.0, pause)), np.vstack([self.cost, [1, tokens]])
+        return max(0.0, pause)
+
+
+def embed(texts: DataFrame, key: str, text: str, model: str = MODEL, mode: str = "document") -> DataFrame:
     """(key, embedding): vectors in Arrow batches by the named embedder."""
-    one = EMBEDDERS[model]
+    one = embedder(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = one([t or "" for t in batch.column(1).to_pylist()])
+            got = one([t or "" for t in batch.column(1).to_pylist()], mode)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(got), pa.list_(pa.float32()))], names=["key", "embedding"])
 
     return texts.select(F.col(key).cast("string").alias("key"), text).mapInArrow(run, "key string, embedding array<float>")
@@ -138,7 +179,7 @@ def build(spark: SparkSession, chunks: DataFrame, path: str, model: str = MODEL,
     import uuid
 
     old = None if rebuild else stored(spark, path)
-    if not usable(old, len(EMBEDDERS[model]([""])[0])):
+    if not usable(old, len(embedder(model)([""], "document")[0])):
         old = None
     now = hashes(chunks, model)
     planned = plan(now, old if old is not None else now.limit(0))

@@ -21,7 +21,7 @@ QUERY_TYPES = ("factual", "definition", "multi_hop", "overview", "out_of_scope")
 
 class Model(Protocol):
     def plans(self, asked: DataFrame) -> DataFrame:
-        """(query_id, raw_query) -> (query_id, query_type, needs_retrieval, sub_queries)."""
+        """(query_id, raw_query) -> (query_id, query_type, needs_retrieval, sub_queries), and doc_id if it can name agreements."""
 
     def judges(self, asked: DataFrame, offered: DataFrame) -> DataFrame:
         """(query_id, raw_query, prompt) and labels (query_id, label, text) -> (query_id, sufficient, missing_info, wanted)."""

@@ -26,7 +26,7 @@ CHECK = "{corpus} For each claim, read the clauses it cites and say whether they
 
 #: What each step answers, as Spark reads it from JSON.
 SHAPES = {
-    "plan": "query_type string, needs_retrieval boolean, sub_queries array<string>",
+    "plan": "query_type string, needs_retrieval boolean, sub_queries array<string>, doc_id string",
     "judge": "sufficient boolean, missing_info string, wanted array<string>",
     "rewrite": "rewritten string",
     "answer": "summary string, answer string, confidence string",

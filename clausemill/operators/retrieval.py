@@ -223,14 +223,14 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_N, same_group: bo
     return top_k(parts, ["query_vec"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
-def dense_texts(questions: DataFrame, vectors: DataFrame, embedder: Callable[[list[str]], np.ndarray], k: int = TOP_N) -> DataFrame:
+def dense_texts(questions: DataFrame, vectors: DataFrame, embedder: Callable[[list[str], str], np.ndarray], k: int = TOP_N) -> DataFrame:
     """(query_id, key, rank): the k nearest texts of each question (query_id, raw_query, doc_id) by the embedder, in the agreement doc_id where it is not null.
 
     vectors has key, own (the agreement) and embedding. Questions are embedded on the driver in blocks of QUERY_BLOCK; each task keeps k a question.
     """
 
     def block(asked: list) -> DataFrame:
-        q = np.asarray(embedder([r["raw_query"] or "" for r in asked]), np.float64)
+        q = np.asarray(embedder([r["raw_query"] or "" for r in asked], "query"), np.float64)
         of = np.array([r["doc_id"] for r in asked], object)
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], object), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), of))
 
@@ -329,3 +329,10 @@ def recall(found: DataFrame, judgments: DataFrame, grade: int = 2) -> DataFrame:
     good = judgments.groupBy("query_id", F.col("chunk_id").alias("key")).agg(F.max("grade").alias("grade")).where(F.col("grade") >= grade)
     hit = found.select("query_id", "key").distinct().withColumn("hit", F.lit(1))
     return good.join(hit, ["query_id", "key"], "left").groupBy("query_id").agg(F.count("*").alias("relevant"), F.count("hit").alias("hits"))
+
+
+def for_display(found: DataFrame) -> DataFrame:
+    """Scores as they are shown: four decimals, five for fused scores; the text as its first 300 characters."""
+    decimals = {"score": 4, "fused_score": 5, "rerank_score": 4}
+    shown = found.withColumns({c: F.round(c, n) for c, n in decimals.items() if c in found.columns})
+    return shown.withColumn("excerpt", F.substring("text", 1, 300)).drop("text") if "text" in found.columns else shown

@@ -221,11 +221,43 @@ def test_an_index_of_another_dimension_is_made_anew(spark, tmp_path, monkeypatch
     index.build(spark, chunks, str(tmp_path))
     assert index.build(spark, chunks, str(tmp_path)).where("action = 'embed'").count() == 0
     assert index.usable(index.stored(spark, str(tmp_path)), index.DIMENSIONS) and not index.usable(index.stored(spark, str(tmp_path)), 8) and not index.usable(None, 8)
-    monkeypatch.setitem(index.EMBEDDERS, index.MODEL, lambda texts: np.ones((len(texts), 8), np.float32))
+    monkeypatch.setitem(index.EMBEDDERS, index.MODEL, lambda texts, mode: np.ones((len(texts), 8), np.float32))
     assert index.build(spark, chunks, str(tmp_path)).where("action = 'embed'").count() == 2
     assert {len(r.embedding) for r in index.stored(spark, str(tmp_path)).collect()} == {8}
 
 
+def test_pace():
+    now, slept = [100.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    pace = index.Pace(2, 100, lambda: now[0], sleep)
+    assert pace.wait(40) == 0 and pace.wait(50) == 0
+    now[0] = 110.0
+    assert pace.wait(10) == pytest.approx(50) and now[0] == 160  # the third request of the minute
+    now[0] = 161.0
+    assert pace.wait(95) == pytest.approx(59)  # too many tokens until the last call has left
+    now[0] = 400.0
+    assert pace.wait(5000) == 0 and pace.wait(1) == pytest.approx(60)
+    assert index.request_tokens(10_000, 3) == 3000 and index.request_tokens(100, 60) == 1000
+    with pytest.raises(ValueError):
+        index.embedder("hosted")
+
+
+def test_point_ids_and_display(spark):
+    import uuid
+
+    space = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+    ids = ["d__sec_1.1", "é §", ""]
+    got = spark.createDataFrame([(i,) for i in ids], "c string").select(T.point_id(F.col("c"), space)).collect()
+    assert [r[0] for r in got] == [str(uuid.uuid5(uuid.UUID(space), i)) for i in ids]
+    row = retrieval.for_display(spark.createDataFrame([("q", 0.123456, 0.0312345678, "x" * 400)], "q string, score double, fused_score double, text string")).first()
+    assert (row.score, row.fused_score, len(row.excerpt)) == (0.1235, 0.03123, 300)
+    assert spark.createDataFrame([("a\nb",)], "t string").select(T.on_one_line(F.col("t"))).first()[0] == "a b"
+
+
 def test_token_batches_cover_all(spark):
     rows = [(f"c{k:03}", None, None, "x" * (4 * (k % 50))) for k in range(230)]
     df = spark.createDataFrame(rows, "chunk_id string, path string, section_title string, text string")
@@ -374,6 +406,8 @@ def test_a_hosted_model_and_its_failures(spark):
 
     chunks, entries = clauses(spark)
     q = spark.createDataFrame([("q1", "Which fee?"), ("q2", "hello"), ("q3", "broken fee number 1")], "query_id string, raw_query string")
+    proposed = models.Scripted(plans=lambda q: q.select("query_id", F.lit("factual").alias("query_type"), F.lit(True).alias("needs_retrieval"), F.array("raw_query").alias("sub_queries"), F.when(F.col("query_id") == "q1", "d").otherwise("invented").alias("doc_id")))
+    assert {(r.query_id, r.doc_id) for r in agent.plan(q, entries, proposed).collect()} == {("q1", "d"), ("q2", None), ("q3", None)}
     got = agent.answer(q, chunks, entries, models.Prompted(complete))
     outcome = {r.query_id: r for r in got.questions.collect()}
     said = {r.query_id: r for r in got.answers.collect()}
