@@ -415,7 +415,8 @@ def repair(text: str, furniture_keys: set[str], joined: set[str], repaired: dict
         kept.append(line.rstrip())
     out: list[str] = []
     for k, line in enumerate(kept):
-        if not out or not line.strip() or not out[-1].strip() or _HEADING.match(line):
+        # A number or "Clause 4.2" at the beginning of a line heads it only if the line before has ended.
+        if not out or not line.strip() or not out[-1].strip() or (_HEADING.match(line) and (_ended(out[-1]) or len(kept[k - 1]) + 1 + len(line.split(None, 1)[0]) <= width)):
             out.append(line)
             continue
         m, n = _cut(out[-1]), _HEAD.match(line)

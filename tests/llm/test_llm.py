@@ -418,6 +418,40 @@ def test_repair_gives_the_paragraph_back(spark):
     assert got["digits"].startswith("It ends after 45 days.")
 
 
+def test_planted_noise_is_taken_out_again(spark):
+    """Sound clauses of the test data, wrapped and given a header, a page number and a cut word each, must come back as they were."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    chunks, sections = spark.read.parquet(f"{folder}/chunks.parquet"), spark.read.parquet(f"{folder}/sections.parquet")
+    noisy = scanned.found(chunks, sections).select("chunk_id").distinct()
+    odd = lookalikes.found(chunks).select("chunk_id").distinct()
+    sound = chunks.where("text is not null and length(text) between 400 and 1500 and not text rlike '[\\n\\r]' and not text rlike '  '").join(noisy.union(odd), "chunk_id", "left_anti")
+    sound = [r.text for r in sound.select("text").distinct().orderBy("text").limit(80).collect()]
+    assert len(sound) == 80
+    rng, planted = random.Random(8), {}
+    for k, text in enumerate(sound):
+        width, lines, cut = rng.randint(58, 74), [""], False
+        for w in text.split(" "):
+            room = width - len(lines[-1]) - 1
+            if lines[-1] and len(w) > room:
+                if not cut and len(lines) > 4 and room > 5 and re.fullmatch("[a-z]{9,}", w):
+                    lines[-1] += f" {w[:5]}-"
+                    w, cut = w[5:], True
+                lines.append(w)
+            else:
+                lines[-1] = f"{lines[-1]} {w}".strip()
+        lines[2:2] = [f"Lumenfield Freight Bill No. {k}", f"- {rng.randint(1, 99)} -"]
+        planted[f"planted{k}"] = "\n".join(lines)
+    both = chunks.select("chunk_id", "text", "section_title").unionByName(spark.createDataFrame([(c, t, None) for c, t in planted.items()], "chunk_id string, text string, section_title string"))
+    back = {r.chunk_id: r.repaired for r in scanned.repaired_texts(both, sections).where("chunk_id like 'planted%'").collect()}
+    right = sum(back.get(f"planted{k}") == text for k, text in enumerate(sound))
+    wrong = [(planted[f"planted{k}"], back.get(f"planted{k}"), text) for k, text in enumerate(sound) if back.get(f"planted{k}") != text]
+    assert right >= 0.9 * len(sound), (right, wrong[0])
+
+
 # --- 9: language ----------------------------------------------------------------------------------------------------
 
 SAMPLES = {
