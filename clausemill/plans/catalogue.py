@@ -203,6 +203,13 @@ def _roster(s: SparkSession, d: str) -> DataFrame:
     return roster.roster(table(s, d, "manifest"))
 
 
+def _resolved_names(s: SparkSession, d: str) -> DataFrame:
+    """The recorded questions, which name no agreement, and one about each agreement by its id in capitals."""
+    entries = _roster(s, d)
+    made = entries.select(F.concat(F.lit("id:"), "doc_id").alias("query_id"), F.format_string("What does %s say of fees?", F.upper("doc_id")).alias("raw_query"))
+    return roster.resolve(_questions(s, d).select("query_id", "raw_query").unionByName(made), entries)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: _orphans(s, d).select("chunk_id", "ref_field", "target", "reason"),
@@ -257,7 +264,7 @@ def queries() -> dict[str, Query]:
         "q36_list_documents": lambda s, d: _chunks(s, d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("num_chunks")),
         "q37_document_sections": _sections,
         "q38_roster": _roster,
-        "q38_roster_resolve": lambda s, d: roster.resolve(_questions(s, d), _roster(s, d)),
+        "q38_roster_resolve": _resolved_names,
         "q39_density": _density,
         "q39_density_select": lambda s, d: _density(s, d).where("chars between 1200 and 260000 and headings >= 1").orderBy(F.desc("score"), "doc_id").limit(15),
         "q40_session_history": lambda s, d: traces.history(table(s, d, "traces")),

@@ -244,6 +244,7 @@ FROM parts p JOIN (SELECT DISTINCT query_id, doc_id, section_id, chunk_id FROM c
         "q35_wanted_ids": f"WITH cur AS ({_CURRENT}), {_CONTEXT}, {_REFS_ABSENT}, {_DEFS_ABSENT}, {_WANTED} SELECT query_id, chunk_id, kind, place FROM wanted",
         "q36_list_documents": f"SELECT doc_id, count(*) AS num_chunks FROM ({_CURRENT}) GROUP BY 1",
         "q37_document_sections": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_id) AS place, section_id, kind, level FROM (SELECT doc_id, section_id, arg_min(kind, parsed_at) AS kind, min(level) AS level FROM sections WHERE doc_id IS NOT NULL AND section_id IS NOT NULL GROUP BY 1, 2)",
+        "q38_roster_resolve": "SELECT DISTINCT 'id:' || doc_id AS query_id, doc_id, 1 AS rule FROM manifest WHERE doc_id IS NOT NULL",
         "q39_density": density,
         "q39_density_select": f"SELECT * FROM ({density}) WHERE chars BETWEEN 1200 AND 260000 AND headings >= 1 ORDER BY score DESC, doc_id LIMIT 15",
         "q40_session_history": f"WITH {_LATEST} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, query_id) AS place, query_id, raw_query, status, created_at FROM latest WHERE session_id IS NOT NULL QUALIFY place <= {traces.HISTORY}",
