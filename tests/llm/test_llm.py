@@ -277,6 +277,14 @@ def test_slices_of_a_large_block(spark, monkeypatch):
     assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == near_truth(rows)
 
 
+@pytest.mark.parametrize("box", [0, 8])
+def test_a_tree_is_used_where_it_spares_work_only(spark, monkeypatch, box):
+    monkeypatch.setattr(neardup, "SLICE", 8)
+    monkeypatch.setattr(neardup, "BOX", box)
+    rows = near_rows()
+    assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == near_truth(rows)
+
+
 def test_hot_blocks_are_cut_into_slices(spark, monkeypatch):
     for name, value in (("BUCKET", 20_000), ("PART", 100), ("HOT", 40)):
         monkeypatch.setattr(neardup, name, value)
@@ -309,6 +317,102 @@ def test_no_link_is_missed_at_the_least_share(spark):
     assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == want
 
 
+def stock_rows():
+    """Texts made from a stock of sentences, so that every run is in many of them, some of them in varied copies."""
+    rng = random.Random(5)
+    stock = [" ".join(f"v{rng.randint(0, 60)}" for _ in range(8)) for _ in range(60)]
+    texts = [[w for x in rng.sample(stock, rng.randint(5, 12)) for w in x.split()] for _ in range(250)]
+    return [(f"s{k:03}_{j}", " ".join(varied(rng, words) if j else words), None) for k, words in enumerate(texts) for j in range(2 if k % 5 == 0 else 1)]
+
+
+def test_the_signatures_of_a_text_do_not_grow_with_the_buckets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    texts = neardup.base(chunk_rows(spark, stock_rows()))
+    frequencies = neardup._frequencies(texts, 1)
+    size = {}
+    for buckets in (1, 4096):
+        store = neardup.Store(str(tmp_path / str(buckets)))
+        (tmp_path / str(buckets)).mkdir()
+        packed = neardup.signatures(texts.select("key", "text"), buckets, 0.6, frequencies, neardup.Slices(frequencies, 1, buckets, neardup.HOT), store)
+        size[buckets] = sum(sum(len(v) for v in r.asDict().values() if isinstance(v, (bytes, bytearray)) and len(v) % 8 == 0) for r in packed.collect())
+        assert len({r.bucket for r in packed.select("bucket").distinct().collect()}) > buckets // 100
+    assert size[4096] == size[1]
+
+
+def test_large_blocks_are_searched_by_two_runs(spark, monkeypatch):
+    rows = stock_rows()
+    truth = near_truth(rows)
+    assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == truth and len(truth) > 20
+    for name, value in (("SPLIT", 4), ("WORTH", 0), ("TRIED", 300), ("BUCKET", 20_000)):
+        monkeypatch.setattr(neardup, name, value)
+    assert {tuple(r) for r in neardup.pairs(chunk_rows(spark, rows)).collect()} == truth
+
+
+def test_a_bucket_by_two_runs_finds_every_link_with_less_work(tmp_path, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = [[w for i in rng.sample(range(1000), rng.randint(35, 45)) for w in (f"a{i}", f"b{i}", f"c{i}")] for _ in range(600)]
+    rows = [(f"s{k:03}_{j}", " ".join(varied(rng, words) if j else words), None) for k, words in enumerate(texts) for j in range(2 if k % 5 == 0 else 1)]
+    rows += [("one_a", " ".join(["again"] * 30), None), ("one_b", " ".join(["again"] * 31), None)]
+    sets = [neardup.runs(t) for _, t, _ in rows]
+    none = np.zeros(0, np.uint64)
+    rare = [neardup.prefix(r, none, none.astype(np.int64), 0.6, neardup.LATER) for r in sets]
+    each = np.array([len(x) for x in rare])
+    head = np.zeros(len(sets), neardup._HEAD)
+    head["key"], head["total"], head["start"], head["held"] = np.arange(len(sets)), [len(r) for r in sets], np.cumsum(each) - each, [neardup.marks(r) for r in sets]
+    store = neardup.Store(str(tmp_path))
+    r, text = np.concatenate(rare), np.repeat(np.arange(len(sets)), each)
+    name = store.write(head, r >> np.uint64(32))
+    place = np.arange(len(r)) - head["start"][text]
+    mine = place < neardup.reach(head["total"], 0.6)[text]
+    entry = np.zeros(mine.sum(), neardup._ENTRY)
+    entry["run"], entry["text"], entry["place"] = r[mine] >> np.uint64(32), text[mine], place[mine]
+    as_sets = [set(r.tolist()) for r in sets]
+    truth = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(as_sets[i] & as_sets[j]) >= 0.6 * len(as_sets[i] | as_sets[j])}
+    looked, listed = [], neardup._listed
+    monkeypatch.setattr(neardup, "_listed", lambda begin, mates, *rest: looked.append(int(mates[begin].sum())) or listed(begin, mates, *rest))
+    work = []
+    for split, worth, slice_ in ((1 << 30, 4, 4096), (4, 0, 4096), (4, 0, 3)):
+        for what, value in (("SPLIT", split), ("WORTH", worth), ("SLICE", slice_)):
+            monkeypatch.setattr(neardup, what, value)
+        looked.clear()
+        got = set(zip(*(x.tolist() for x in neardup._in_bucket([name], [entry.tobytes()], store, 0.6))))
+        assert got >= truth and len(truth) > 20
+        work.append(sum(looked))
+    assert work[1] < 0.5 * work[0]
+
+
+def test_a_store_on_another_file_system_is_read_as_well(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    class Elsewhere:
+        @staticmethod
+        def from_uri(uri):
+            return neardup.fs.SubTreeFileSystem("/", neardup.fs.LocalFileSystem()), str(uri)
+
+    monkeypatch.setattr(neardup.fs, "FileSystem", Elsewhere)
+    store, head = neardup.Store(str(tmp_path)), np.zeros(3, neardup._HEAD)
+    head["key"] = [5, 6, 7]
+    name = store.write(head, np.arange(4, dtype=np.uint64))
+    for _ in range(2):
+        heads, rarest = store.read(name)
+        assert heads["key"].tolist() == [5, 6, 7] and rarest.tolist() == [0, 1, 2, 3]
+
+
+def test_shared_parts_are_the_same_however_words_are_numbered(monkeypatch):
+    texts = [t for _, t, _ in near_rows() if t]
+    for most, kept in ((1 << 21, 2_000_000), (900, 300), (1, 300)):
+        monkeypatch.setattr(neardup._Exact, "MOST", most)
+        monkeypatch.setattr(neardup._Exact, "KEPT", kept)
+        exact = neardup._Exact()
+        for a, b in [(i, (i * 7 + 1) % len(texts)) for i in range(len(texts))]:
+            x, y = (set(zip(w, w[1:], w[2:])) if len(w) >= neardup.WORDS else set() for w in (re.findall("[a-z0-9]+", texts[k].lower()) for k in (a, b)))
+            common, either = exact.shared(a, b, texts[a], texts[b])
+            assert (common, either) == (len(x & y), len(x | y)) or not (x and y)
+
+
 def test_the_tree_bounds_from_above():
     import numpy as np
 
