@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -86,16 +88,26 @@ def packed_parts(chunks: DataFrame, limit: int = S.CHUNK_CHARS) -> DataFrame:
 Embedder = Callable[[list[str], str], np.ndarray]
 
 
+class _Places(dict):
+    """Word -> twice its dimension, plus one where it counts negative."""
+
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.encode())
+        if len(self) > 150_000:
+            self.clear()
+        self[word] = place = h % DIMENSIONS * 2 + (not h & 0x10000)
+        return place
+
+
+_places, _TOKEN = _Places(), re.compile(T.TOKEN)
+
+
 def hashing_embedder(texts: list[str], mode: str = "document") -> np.ndarray:
     """An offline embedder: signed hashing of words into DIMENSIONS, unit length, the same for documents and queries. Deterministic; it stands in for a hosted model."""
-    import re
-    import zlib
-
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
     for i, t in enumerate(texts):
-        for w in re.findall(S.re.compile(T.TOKEN), t.lower()):
-            h = zlib.crc32(w.encode())
-            out[i, h % DIMENSIONS] += 1.0 if h & 0x10000 else -1.0
+        n = np.bincount(list(map(_places.__getitem__, _TOKEN.findall(t.lower()))) or [0, 1], minlength=2 * DIMENSIONS)
+        out[i] = n[::2] - n[1::2]
     n = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(n > 0, n, 1.0)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
@@ -20,8 +22,9 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP_N, TOP_K, RRF_K = 40, 6, 60
 #: Query vectors that go to all workers at once; more are taken in turns.
 QUERY_BLOCK = 20_000
-#: Pairs of a question and a document that a task scores at once, and that it keeps before it cuts them to the best of each question.
-PAIRS = 1_000_000
+#: Pairs of a question and a document that a task scores at once, and that it keeps, at least, before it cuts them to the best of each question;
+#: scores of a term in a document that it holds at once.
+PAIRS_AT_ONCE, PAIRS, TABLE = 250_000, 1_000_000, 2_000_000
 
 
 # --- BM25 ---------------------------------------------------------------------------------------------------------
@@ -49,82 +52,166 @@ def inverse_frequencies(post: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 class _Best:
-    """The k best (score, key) of each question so far: rows above a question's k-th score are kept, and cut now and then."""
+    """The k best (score, key) of each question so far: rows that reach a question's k-th score are kept, and cut now and then.
+
+    Documents are known by number, and their keys are compared only where rows are cut.
+    """
 
     def __init__(self, questions: int, k: int):
         self.k, self.floor, self.held, self.rows = k, np.full(questions, -np.inf), [], 0
-
-    def add(self, q: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
-        ok = score >= self.floor[q]  # ties may still have the smaller key
-        self.held.append((q[ok], score[ok], key[ok]))
+        self.keys, self.known, self.most = [np.zeros(0, object)], 0, max(PAIRS, 2 * k * questions)
+
+    def documents(self, keys: list[str]) -> int:
+        """The number of the first of these documents."""
+        if self.known > self.most:
+            q, score, doc = self.cut()
+            used, doc = np.unique(doc, return_inverse=True)
+            self.keys, self.known, self.held = [np.concatenate(self.keys)[used]], len(used), [(q, score, doc)]
+        self.keys.append(np.array(keys, object))
+        self.known += len(keys)
+        return self.known - len(keys)
+
+    def add(self, q: np.ndarray, scores: np.ndarray, doc: np.ndarray, least: float = -np.inf) -> None:
+        """The scores, above `least`, of questions (rows) and documents (columns)."""
+        low = self.floor[q]
+        new = ~np.isfinite(low)
+        if scores.shape[1] >= self.k and new.any():
+            low[new] = np.partition(scores[new], -self.k, axis=1)[:, -self.k]
+            low = np.where(low > least, np.round(low, 9), -np.inf)
+            self.floor[q] = low
+        rows, cols = np.nonzero(scores >= np.maximum(low - 2e-9, np.nextafter(least, np.inf))[:, None])
+        score = np.round(scores[rows, cols], 9)
+        ok = score >= low[rows]  # ties may still have the smaller key
+        self.held.append((q[rows[ok]], score[ok], doc[cols[ok]]))
         self.rows += int(ok.sum())
-        if self.rows > PAIRS:
+        if self.rows > self.most:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, score, key = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object))
-        order = np.argsort(key, kind="stable")
-        order = order[np.lexsort((-score[order], q[order]))]
-        q, score, key = q[order], score[order], key[order]
+        q, score, doc = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        used, place = np.unique(doc, return_inverse=True)
+        by_key = np.empty(len(used), np.int64)
+        by_key[np.argsort(np.concatenate(self.keys)[used], kind="stable")] = np.arange(len(used))
+        order = np.lexsort((by_key[place], -score, q))
+        q, score, doc = q[order], score[order], doc[order]
         first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
         place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         last = place == self.k - 1
         self.floor[q[last]] = score[last]
         keep = place < self.k
-        self.held, self.rows = [(q[keep], score[keep], key[keep])], int(keep.sum())
+        self.held, self.rows = [(q[keep], score[keep], doc[keep])], int(keep.sum())
         return self.held[0]
 
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        q, score, doc = self.cut()
+        keys = np.concatenate(self.keys)[doc]
+        return pa.RecordBatch.from_arrays([pa.array(names[q], pa.string()), pa.array(keys, pa.string()), pa.array(score, pa.float64())], names=["query_id", "key", "score"])
+
+
+class _Sides:
+    """Which questions meet which documents: those without a group all of them, the others those of their group."""
+
+    def __init__(self, groups: list[str | None], order: np.ndarray):
+        self.free, self.of = order[[groups[q] is None for q in order]] if len(order) else order, {}
+        for q in order:
+            if groups[q] is not None:
+                self.of.setdefault(groups[q], []).append(q)
+
+    def of_block(self, own: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(questions, places of their documents in the block, None for all of them), at most PAIRS_AT_ONCE pairs at a time."""
+        places: dict[str, list[int]] = {}
+        for i, g in enumerate(own if self.of else []):
+            if g in self.of:
+                places.setdefault(g, []).append(i)
+        for q, at in [(self.free, None), *((np.array(self.of[g]), np.array(at)) for g, at in places.items())]:
+            step = max(1, PAIRS_AT_ONCE // (len(own) if at is None else len(at)))
+            for i in range(0, len(q), step):
+                yield q[i : i + step], at
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """As many tasks as there are cores, at most, since each of them gives the best of every question."""
+    return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
 
 def _bm25_block(asked: list[tuple[str, dict[str, int], str | None]], idf: dict[str, float], mean_length: float, held: DataFrame, k: int) -> DataFrame:
-    by_term: dict[str, tuple[list[int], list[float]]] = {}
-    for i, (_, times, _) in enumerate(asked):
-        for t, n in times.items():
-            q, w = by_term.setdefault(t, ([], []))
-            q.append(i)
-            w.append(n * idf.get(t, 0.0))
-    terms = {t: (np.array(q), np.array(w, np.float64)) for t, (q, w) in by_term.items()}
-    shared = held.sparkSession.sparkContext.broadcast((terms, [q for q, _, _ in asked], [g for _, _, g in asked]))
-
-    def scored(docs: list[tuple[str, str | None, dict[str, float]]], weights: dict, groups: np.ndarray, best: _Best) -> None:
-        """The pairs of some documents and the questions that share a token with them: contributions side by side, added up by pair."""
-        hits = [(d, *weights[t], x) for d, (_, _, parts) in enumerate(docs) for t, x in parts.items()]
-        sizes = np.array([len(q) for _, q, _, _ in hits])
-        q = np.concatenate([h[1] for h in hits])
-        d = np.repeat(np.array([h[0] for h in hits]), sizes)
-        x = np.concatenate([h[2] for h in hits]) * np.repeat(np.array([h[3] for h in hits]), sizes)
-        if groups is not None:
-            own = np.array([g for _, g, _ in docs], object)
-            ok = (groups[q] == None) | (groups[q] == own[d])  # noqa: E711
-            q, d, x = q[ok], d[ok], x[ok]
-        pair, which = np.unique(q.astype(np.int64) * len(docs) + d, return_inverse=True)
-        score = np.round(np.bincount(which, x, len(pair)), 9)
-        keys = np.array([key for key, _, _ in docs], object)
-        best.add(pair // len(docs), score, keys[pair % len(docs)])
+    terms = {t: i for i, t in enumerate(sorted(idf))}
+    # The terms of each question side by side, filled up with one that no document has and that weighs nothing.
+    mine = [[(terms[t], n * idf[t]) for t, n in times.items() if t in terms] for _, times, _ in asked]
+    sizes = np.array([len(m) for m in mine])
+    slots = np.full((len(asked), max(1, int(sizes.max()))), len(terms), np.int32)
+    weights = np.zeros(slots.shape)
+    for i, m in enumerate(mine):
+        if m:
+            slots[i, : len(m)], weights[i, : len(m)] = zip(*m)
+    order = np.argsort(sizes, kind="stable")
+    sides = _Sides([g for _, _, g in asked], order[sizes[order] > 0])
+    names = np.array([q for q, _, _ in asked], object)
+    shared = held.sparkSession.sparkContext.broadcast((list(terms), slots, weights, sizes, names, sides, min(idf.values(), default=1.0) > 0))
+
+    def sums(table: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.take(table, slot[:, 0], axis=0)
+        out *= weight[:, :1]
+        part = np.empty_like(out)
+        for j in range(1, slot.shape[1]):
+            np.take(table, slot[:, j], axis=0, out=part, mode="clip")
+            part *= weight[:, j : j + 1]
+            out += part
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, names, groups = shared.value
-        best = _Best(len(names), k)
-        groups = np.array(groups, object) if any(g is not None for g in groups) else None
-        docs, pairs = [], 0
+        terms, slots, weights, sizes, names, sides, positive = shared.value
+        best, known = _Best(len(names), k), pa.array(terms, pa.string())
+        size = min(2048, max(1, TABLE // (len(terms) + 1)))
         for batch in batches:
-            for key, own, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = Counter(t for t in tokens if t in weights)
-                if found:
-                    size = K1 * (1 - B + B * len(tokens) / mean_length)
-                    docs.append((key, own, {t: n * (K1 + 1) / (n + size) for t, n in found.items()}))
-                    pairs += sum(len(weights[t][0]) for t in found)
-                if pairs > PAIRS:
-                    scored(docs, weights, groups, best)
-                    docs, pairs = [], 0
-        if docs:
-            scored(docs, weights, groups, best)
-        q, score, key = best.cut()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, object)[q], pa.string()), pa.array(key, pa.string()), pa.array(score, pa.float64())], names=["query_id", "key", "score"])
-
-    return held.mapInArrow(run, "query_id string, key string, score double")
-
-
-def bm25(questions: DataFrame, docs: DataFrame, key: str, text: Column, k: int = TOP_N, group: Column | None = None) -> DataFrame:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                docs, tokens = part.num_rows, part.column(2)
+                lengths = np.nan_to_num(pc.list_value_length(tokens).to_numpy(zero_copy_only=False)).astype(np.int64)
+                of = np.repeat(np.arange(docs), lengths)
+                term = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = term >= 0
+                if not found.any():
+                    continue
+                times = np.bincount(term[found] * docs + of[found], minlength=(len(terms) + 1) * docs).reshape(len(terms) + 1, docs).astype(np.float64)
+                held = times > 0
+                table = times * (K1 + 1)
+                table /= times + K1 * (1 - B + B * lengths / mean_length)
+                del times
+                first = best.documents(part.column(0).to_pylist())
+                for q, at in sides.of_block(part.column(1).to_pylist()):
+                    wide = int(sizes[q].max())
+                    slot, weight = slots[q, :wide], weights[q, :wide]
+                    columns = np.arange(docs) if at is None else at
+                    scores = sums(table if at is None else table[:, at], slot, weight)
+                    if not positive:  # then a score does not tell whether the two share a token
+                        both = sums((held if at is None else held[:, at]).astype(np.float64), slot, np.ones(slot.shape))
+                        scores[both == 0] = -np.inf
+                    best.add(q, scores, first + columns, 0.0 if positive else -np.inf)
+        yield best.batch(names)
+
+    return _spread(held).mapInArrow(run, "query_id string, key string, score double")
+
+
+@dataclass
+class Tokenized:
+    """Texts by tokens, staged: held (key, own, tokens), df (term, df), and stats (n, mean_length, mean_idf), None without a token."""
+
+    held: DataFrame
+    df: DataFrame
+    stats: Row | None
+
+
+def tokenized(docs: DataFrame, key: str, text: Column, group: Column | None = None) -> Tokenized:
+    """What `bm25` needs of the documents, for several searches."""
+    held = staged(docs.select(F.col(key).cast("string").alias("key"), (F.lit(None).cast("string") if group is None else group).alias("own"), T.tokens(text).alias("tokens")).where("key is not null"), "bm25_tokens")
+    size = held.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
+    df = staged(held.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25_terms")
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    return Tokenized(held, df, df.join(F.broadcast(size)).groupBy("n", "mean_length").agg(F.avg(raw).alias("mean_idf")).first())
+
+
+def bm25(questions: DataFrame, docs: DataFrame, key: str, text: Column, k: int = TOP_N, group: Column | None = None, ready: Tokenized | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k best documents of each question that share a token with it.
 
     questions has query_id and raw_query; a token repeated in the question counts as often. With `group`, a value of each document,
@@ -132,14 +219,12 @@ def bm25(questions: DataFrame, docs: DataFrame, key: str, text: Column, k: int =
     decimals before they are ranked and ties go to the smaller key, so the result does not depend on the order of
     sums. Null and empty texts count in the statistics and are never found.
 
-    Texts are tokenized once. Each task goes over its documents with a block of questions, scores the pairs that share a token, and keeps
-    the k best of each question, so the shuffle carries at most k rows a task and question; QUERY_BLOCK bounds the block.
+    Texts are tokenized once, or before (`ready`, from `tokenized` with the same arguments). Each task goes over its documents with a block of questions,
+    scores them against each other some at a time, and keeps the k best of each question, so the shuffle carries at most k rows a task and question;
+    QUERY_BLOCK bounds the block.
     """
-    held = staged(docs.select(F.col(key).cast("string").alias("key"), (F.lit(None).cast("string") if group is None else group).alias("own"), T.tokens(text).alias("tokens")).where("key is not null"), "bm25_tokens")
-    size = held.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
-    df = staged(held.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "bm25_terms")
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    stats = df.join(F.broadcast(size)).groupBy("n", "mean_length").agg(F.avg(raw).alias("mean_idf")).first()
+    ready = ready or tokenized(docs, key, text, group)
+    held, df, stats = ready.held, ready.df, ready.stats
     columns = "query_id string, key string, score double"
     parts = None
     if stats is not None:
@@ -231,26 +316,24 @@ def dense_texts(questions: DataFrame, vectors: DataFrame, embedder: Callable[[li
 
     def block(asked: list) -> DataFrame:
         q = np.asarray(embedder([r["raw_query"] or "" for r in asked], "query"), np.float64)
-        of = np.array([r["doc_id"] for r in asked], object)
-        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], object), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), of))
+        sides = _Sides([r["doc_id"] for r in asked], np.arange(len(asked)))
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked], object), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12), sides))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, unit, of = shared.value
+            names, unit, sides = shared.value
             best = _Best(len(names), k)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     part = batch.slice(lo, 2048)
-                    keys, own = (np.array(part.column(i).to_pylist(), object) for i in (0, 1))
-                    v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+                    v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    score = np.round(unit @ v.T, 9)
-                    allowed = (of[:, None] == None) | (of[:, None] == own[None, :])  # noqa: E711
-                    rows, cols = np.nonzero(allowed & (score >= best.floor[:, None]))
-                    best.add(rows, score[rows, cols], keys[cols])
-            rows, score, keys = best.cut()
-            yield pa.RecordBatch.from_arrays([pa.array(names[rows], pa.string()), pa.array(keys, pa.string()), pa.array(score, pa.float64())], names=["query_id", "key", "score"])
+                    first = best.documents(part.column(0).to_pylist())
+                    for rows, at in sides.of_block(part.column(1).to_pylist()):
+                        columns = np.arange(len(v)) if at is None else at
+                        best.add(rows, unit[rows] @ v[columns].T, first + columns)
+            yield best.batch(names)
 
-        return vectors.where("embedding is not null").select("key", "own", "embedding").mapInArrow(run, "query_id string, key string, score double")
+        return _spread(vectors.where("embedding is not null").select("key", "own", "embedding")).mapInArrow(run, "query_id string, key string, score double")
 
     parts, held = vectors.sparkSession.createDataFrame([], "query_id string, key string, score double"), []
     for row in questions.where("query_id is not null").select("query_id", "raw_query", "doc_id").toLocalIterator():
@@ -303,10 +386,10 @@ def reranker(name: str) -> Reranker:
     return RERANKERS[name]
 
 
-def hybrid(questions: DataFrame, dense_list: DataFrame, chunks: DataFrame, use_dense: bool = True, use_sparse: bool = True, rerank: str = "none", top_n: int = TOP_N, top_n_k: int = TOP_K, weights: dict[str, float] | None = None, group: Column | None = None) -> DataFrame:
+def hybrid(questions: DataFrame, dense_list: DataFrame, chunks: DataFrame, use_dense: bool = True, use_sparse: bool = True, rerank: str = "none", top_n: int = TOP_N, top_n_k: int = TOP_K, weights: dict[str, float] | None = None, group: Column | None = None, ready: Tokenized | None = None) -> DataFrame:
     """(query_id, key, fused_score, best_rank, place, rerank_score, final): dense and BM25 lists fused, cut to top_n, reranked, cut to top_n_k.
 
-    dense_list has query_id, key and rank. With `group`, questions that have a doc_id are searched in that group only (see `bm25`). Switching both
+    dense_list has query_id, key and rank. With `group`, questions that have a doc_id are searched in that group only, and `ready` has the tokens (see `bm25`). Switching both
     retrievers off is an error.
     """
     if not (use_dense or use_sparse):
@@ -315,7 +398,7 @@ def hybrid(questions: DataFrame, dense_list: DataFrame, chunks: DataFrame, use_d
     if use_dense:
         lists.append(dense_list.where(F.col("rank") <= top_n).select("query_id", "key", F.lit("dense").alias("retriever"), "rank"))
     if use_sparse:
-        lists.append(bm25(questions, chunks, "chunk_id", T.indexed_text(), top_n, group).select("query_id", "key", F.lit("sparse").alias("retriever"), "rank"))
+        lists.append(bm25(questions, chunks, "chunk_id", T.indexed_text(), top_n, group, ready).select("query_id", "key", F.lit("sparse").alias("retriever"), "rank"))
     both = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
     fused = reciprocal_ranks(both, weights).where(F.col("place") <= top_n)
     held = fused.join(chunks.select(F.col("chunk_id").alias("key"), "text"), "key", "left").join(questions.select("query_id", "raw_query"), "query_id", "left")

@@ -465,3 +465,78 @@ def test_formats(spark):
     assert spark.createDataFrame([("d__sec_9.1",), ("plain",)], "c string").select(T.label(F.col("c"))).collect()[0][0] == "d §9.1"
     d = spark.createDataFrame([('“Working Day” means a day (the "Seller") and "Big  Term" shall mean x.',), ('("X") is none, "No" means short',)], "t string").select(T.defined_terms(F.col("t"))).collect()
     assert d[0][0] == ["Working Day", "Big Term", "Seller"] and d[1][0] == []
+
+
+def test_many_questions_are_searched_in_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n, m = np.random.default_rng(5), 6000, 4096
+    asked = rng.standard_normal((n, 64))
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    held = rng.standard_normal((m, 64))
+    held[m // 2 :] = held[: m // 2]  # every vector twice
+    keys = [f"k{i:05d}" for i in rng.permutation(m)]
+    tasks = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: tasks.append(f) or spark.createDataFrame([], schema))
+    questions = spark.range(n).select(F.format_string("%05d", "id").alias("query_id"), F.lit("x").alias("raw_query"), F.when(F.col("id") % 1000 == 0, "b").alias("doc_id")).coalesce(1)
+    vectors = spark.createDataFrame([], "key string, own string, embedding array<float>")
+    retrieval.dense_texts(questions, vectors, lambda texts, mode: asked)
+    own = ["b" if i % 100 == 0 else "a" for i in range(m)]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(list(held))], names=["key", "own", "embedding"])
+    tracemalloc.start()
+    rows = [r for b in tasks[0](iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append((-r["score"], r["key"]))
+    unit = held / np.linalg.norm(held, axis=1, keepdims=True)
+    for i in [*range(0, n, 1000), *range(7, n, 500)]:
+        every = sorted((-s, k) for s, k, o in zip(np.round(unit @ asked[i], 9), keys, own) if i % 1000 or o == "b")
+        assert sorted(got[f"{i:05d}"]) == every[: retrieval.TOP_N]
+    assert peak < 300 << 20
+
+
+def test_weights_below_zero_and_groups_are_scored(spark):
+    """Against sums pair by pair: words in most texts, where a corpus is small, have weights of zero and below."""
+    import math
+    from collections import Counter
+
+    texts = [("a1", "a", "fee fee due"), ("a2", "a", "fee law"), ("b1", "b", "fee due law law"), ("b2", "b", "rent"), ("b3", "b", None), ("a3", "a", "fee due rent")]
+    docs = spark.createDataFrame(texts, "key string, own string, text string")
+    asked = {"q1": ("fee", None), "q2": ("fee fee rent", "b"), "q3": ("due law nothing", "a"), "q4": ("nothing", None), "q5": (None, None), "q6": ("law", "c")}
+    questions = spark.createDataFrame([(q, *x) for q, x in asked.items()], "query_id string, raw_query string, doc_id string")
+    split = {k: (t or "").split() for k, _, t in texts}
+    df = Counter(w for ws in split.values() for w in set(ws))
+    raw = {w: math.log(6 - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: x if x >= 0 else retrieval.EPSILON * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    mean, want = sum(map(len, split.values())) / 6, set()
+    for q, (text, of) in asked.items():
+        for k, own, _ in texts:
+            shared = [w for w in (text or "").split() if w in split[k]]
+            if shared and of in (None, own):
+                size = retrieval.K1 * (1 - retrieval.B + retrieval.B * len(split[k]) / mean)
+                want.add((q, k, round(sum(idf[w] * split[k].count(w) * (retrieval.K1 + 1) / (split[k].count(w) + size) for w in shared), 9)))
+    assert min(idf.values()) <= 0 and {(r.query_id, r.key, r.score) for r in retrieval.bm25(questions, docs, "key", F.col("text"), group=F.col("own")).collect()} == want
+
+
+def test_the_same_words_are_searched_once(spark):
+    rows = [(f"d__sec_{k}", "d", str(k), "Payment", f"Clause {k}: the fee number {k} is due.", None, [], [], []) for k in range(1, 10)]
+    chunks = spark.createDataFrame(rows, CLAUSES)
+    words = retrieval.tokenized(chunks, "chunk_id", T.indexed_text(), F.col("doc_id"))
+    vectors = agent.index.embed(chunks, "chunk_id", "text").withColumn("own", F.lit("d"))
+    active = spark.createDataFrame([(f"q{i}", p, w, d) for i in range(4) for p, w, d in ((0, "fee number", None), (1, "fee number", "d"), (2, None, None))], "query_id string, pos int, sub_query string, doc_id string")
+    searched, block = [], retrieval.dense_texts
+    try:
+        retrieval.dense_texts = lambda q, *more: searched.append(q.count()) or block(q, *more)
+        got = agent.search(active, chunks, vectors, words).collect()
+    finally:
+        retrieval.dense_texts = block
+    assert searched == [3] and {(r.query_id, r.pos) for r in got} == {(f"q{i}", p) for i in range(4) for p in range(3)}
+    lists = {}
+    for r in got:
+        lists.setdefault((r.query_id, r.pos), set()).add((r.final, r.chunk_id))
+    assert all(lists[f"q{i}", p] == lists["q0", 0] and len(lists["q0", 0]) == retrieval.TOP_K for i in range(4) for p in (0, 1))
