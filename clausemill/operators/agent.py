@@ -7,7 +7,7 @@ flat and a lost executor costs one round. The model behind the steps is a protoc
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +25,80 @@ ROUNDS = 3
 _NOTHING = "no clauses were retrieved for this question"
 
 
-@dataclass
 class Answered:
-    """questions: one row each with its outcome; context: what each gathered; answers; checks: citations and whether they hold; claims, with whether they are supported; log: one row a step."""
+    """What the loop gives; what is not asked for is not worked out.
 
-    questions: DataFrame
-    context: DataFrame
-    answers: DataFrame
-    checks: DataFrame
-    claims: DataFrame
-    log: DataFrame
+    questions: one row each with its outcome; context: what each gathered; answers: of the three kinds of questions; checks: citations, and whether they hold by
+    what was shown; claims, with whether what they cite supports them; log: one row a step.
+    """
+
+    def __init__(self, asked: DataFrame, ended: DataFrame, gathered: DataFrame, chunks: DataFrame, entries: DataFrame, model: Model, steps: DataFrame):
+        self._asked, self._ended, self._chunks, self._entries, self._model = asked, ended, chunks, entries, model
+        self.context, self.log = gathered, steps
+
+    @cached_property
+    def _texts(self) -> DataFrame:
+        return sifted(self._chunks, self.context, "chunk_id")
+
+    @cached_property
+    def _shown(self) -> DataFrame:
+        return staged(C.prioritized(self.context).join(self._texts.select("chunk_id", "doc_id", "section_id", "section_title", "path", "text"), "chunk_id"), "agent_shown")
+
+    @cached_property
+    def _state(self) -> DataFrame:
+        state = self._asked.join(self._ended, "query_id", "left").join(self._shown.select("query_id").distinct().withColumn("some", F.lit(True)), "query_id", "left")
+        low = F.col("needs_retrieval") & (~F.coalesce("sufficient", F.lit(False)) | F.col("some").isNull())
+        return staged(state.withColumn("low", low), "agent_state")
+
+    @cached_property
+    def _said(self) -> DataFrame:
+        normal = self._state.where("needs_retrieval and some")
+        prompt = C.prompt(self._shown, self._texts)
+        said = self._model.answers(normal.select("query_id", "raw_query", F.when(F.col("low"), F.col("missing_info")).alias("missing_info")).join(prompt, "query_id"), self._shown)
+        kept = self._state.join(said, "query_id", "left")
+        failed = F.col("needs_retrieval") & F.col("some").isNotNull() & F.col("answer").isNull()
+        answer_ = (
+            F.when(~F.col("needs_retrieval"), F.lit(None).cast("string"))
+            .when(F.col("some").isNull(), F.lit("Nothing in the agreements was found for this. Name the company, the section or the term that the clause would use."))
+            .otherwise(F.coalesce("answer", F.lit("No answer could be made from the clauses.")))
+        )
+        summary = F.when(~F.col("needs_retrieval"), "Only what the agreements say can be answered here.").when(F.col("some").isNull(), "No clause was found for this question.").otherwise(F.coalesce("summary", F.lit("")))
+        confidence = F.when(~F.col("needs_retrieval"), "high").when(F.col("low") | failed, "low").otherwise(F.coalesce("confidence", F.lit("low")))
+        return staged(kept.select("query_id", summary.alias("summary"), (~F.col("needs_retrieval")).alias("listed"), answer_.alias("answer"), confidence.alias("confidence"), failed.alias("failed")), "agent_answers")
+
+    @property
+    def _listed(self) -> DataFrame:
+        """With the list of all agreements as the answer to questions that need none: it is long, and stored once and not a question."""
+        # Every agreement on one line, once for all questions that need none.
+        lines = top_k(roster.listing(self._entries).withColumn("all", F.lit(1)), ["all"], [F.col("doc_id")], 2**31 - 1, "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("lines"))
+        every = F.concat(F.lit("The library holds these agreements:\n\n"), F.coalesce("lines", F.lit("")), F.lit("\n\nAsk what one of them says about a duty, a term, an end, a payment or a reference."))
+        return self._said.crossJoin(F.broadcast(lines)).withColumn("answer", F.when(F.col("listed"), every).otherwise(F.col("answer"))).drop("lines", "listed")
+
+    @cached_property
+    def _whole(self) -> DataFrame:
+        return self._listed.select("query_id", F.concat_ws("\n", F.nullif("summary", F.lit("")), "answer").alias("answer"))
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return staged(C.verify_citations(self._whole, self._shown), "agent_checks")
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        unsound = self.checks.where("not verified").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", T.citation(F.col("doc_id"), F.col("section_id")).alias("tag")))).alias("u"))
+        warning = F.concat(F.lit("\n\nThese citations name no clause that was found, and could not be checked: "), F.array_join(F.transform("u", lambda x: x["tag"]), ", "))
+        return self._listed.join(unsound, "query_id", "left").select("query_id", "summary", F.concat("answer", F.coalesce(warning, F.lit(""))).alias("answer"), "confidence", F.transform(F.coalesce("u", F.array().cast("array<struct<place:int,tag:string>>")), lambda x: x["tag"]).alias("unverified_citations"))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        claims = C.claim_evidence(self._whole, self._shown)
+        cited = claims.join(self._texts.select("chunk_id", F.col("text").alias("evidence")), "chunk_id").groupBy("query_id", "claim_no", "claim").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence"))), lambda x: x["evidence"]), "\n\n").alias("evidence"))
+        return claims.join(self._model.checks(cited), ["query_id", "claim_no"], "left")
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return self._state.join(self._said.select("query_id", "confidence", "failed"), "query_id").select(
+            "query_id", "query_type", "needs_retrieval", "doc_id", F.coalesce("iteration", F.lit(0)).alias("iteration"), F.nullif("strategy", F.lit("")).alias("strategy"), "sufficient", (F.col("low") | F.col("failed")).alias("low_confidence"), "confidence",
+        )
 
 
 def plan(questions: DataFrame, entries: DataFrame, model: Model) -> DataFrame:
@@ -146,40 +210,4 @@ def answer(questions: DataFrame, chunks: DataFrame, entries: DataFrame, model: M
     steps = log[0]
     for x in log[1:]:
         steps = steps.unionByName(x)
-    return _answered(asked, ended, gathered, chunks, entries, model, steps)
-
-
-def _answered(asked: DataFrame, ended: DataFrame, gathered: DataFrame, chunks: DataFrame, entries: DataFrame, model: Model, steps: DataFrame) -> Answered:
-    """The answers of the three kinds of questions, their citations checked against what was shown, and their claims against what they cite."""
-    chunks = sifted(chunks, gathered, "chunk_id")
-    shown = staged(C.prioritized(gathered).join(chunks.select("chunk_id", "doc_id", "section_id", "section_title", "path", "text"), "chunk_id"), "agent_shown")
-    state = asked.join(ended, "query_id", "left").join(shown.select("query_id").distinct().withColumn("some", F.lit(True)), "query_id", "left")
-    low = F.col("needs_retrieval") & (~F.coalesce("sufficient", F.lit(False)) | F.col("some").isNull())
-    state = staged(state.withColumn("low", low), "agent_state")
-    normal = state.where("needs_retrieval and some")
-    prompt = C.prompt(shown, chunks)
-    said = model.answers(normal.select("query_id", "raw_query", F.when(F.col("low"), F.col("missing_info")).alias("missing_info")).join(prompt, "query_id"), shown)
-    # Every agreement on one line, once for all questions that need none.
-    lines = top_k(roster.listing(entries).withColumn("all", F.lit(1)), ["all"], [F.col("doc_id")], 2**31 - 1, "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("lines"))
-    kept = state.join(said, "query_id", "left").crossJoin(F.broadcast(lines))
-    failed = F.col("needs_retrieval") & F.col("some").isNotNull() & F.col("answer").isNull()
-    answer_ = (
-        F.when(~F.col("needs_retrieval"), F.concat(F.lit("The library holds these agreements:\n\n"), F.coalesce("lines", F.lit("")), F.lit("\n\nAsk what one of them says about a duty, a term, an end, a payment or a reference.")))
-        .when(F.col("some").isNull(), F.lit("Nothing in the agreements was found for this. Name the company, the section or the term that the clause would use."))
-        .otherwise(F.coalesce("answer", F.lit("No answer could be made from the clauses.")))
-    )
-    summary = F.when(~F.col("needs_retrieval"), "Only what the agreements say can be answered here.").when(F.col("some").isNull(), "No clause was found for this question.").otherwise(F.coalesce("summary", F.lit("")))
-    confidence = F.when(~F.col("needs_retrieval"), "high").when(F.col("low") | failed, "low").otherwise(F.coalesce("confidence", F.lit("low")))
-    answered = staged(kept.select("query_id", summary.alias("summary"), answer_.alias("answer"), confidence.alias("confidence"), failed.alias("failed")), "agent_answers")
-    whole = answered.select("query_id", F.concat_ws("\n", F.nullif("summary", F.lit("")), "answer").alias("answer"))
-    checks = staged(C.verify_citations(whole, shown), "agent_checks")
-    unsound = checks.where("not verified").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", T.citation(F.col("doc_id"), F.col("section_id")).alias("tag")))).alias("u"))
-    warning = F.concat(F.lit("\n\nThese citations name no clause that was found, and could not be checked: "), F.array_join(F.transform("u", lambda x: x["tag"]), ", "))
-    final = answered.join(unsound, "query_id", "left").select("query_id", "summary", F.concat("answer", F.coalesce(warning, F.lit(""))).alias("answer"), "confidence", F.transform(F.coalesce("u", F.array().cast("array<struct<place:int,tag:string>>")), lambda x: x["tag"]).alias("unverified_citations"))
-    claims = C.claim_evidence(whole, shown)
-    cited = claims.join(chunks.select("chunk_id", F.col("text").alias("evidence")), "chunk_id").groupBy("query_id", "claim_no", "claim").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence"))), lambda x: x["evidence"]), "\n\n").alias("evidence"))
-    held = claims.join(model.checks(cited), ["query_id", "claim_no"], "left")
-    outcome = state.join(answered.select("query_id", "confidence", "failed"), "query_id").select(
-        "query_id", "query_type", "needs_retrieval", "doc_id", F.coalesce("iteration", F.lit(0)).alias("iteration"), F.nullif("strategy", F.lit("")).alias("strategy"), "sufficient", (F.col("low") | F.col("failed")).alias("low_confidence"), "confidence",
-    )
-    return Answered(outcome, gathered, final, checks, held, steps)
+    return Answered(asked, ended, gathered, chunks, entries, model, steps)

@@ -23,8 +23,8 @@ TOP_N, TOP_K, RRF_K = 40, 6, 60
 #: Query vectors that go to all workers at once; more are taken in turns.
 QUERY_BLOCK = 20_000
 #: Pairs of a question and a document that a task scores at once, and that it keeps, at least, before it cuts them to the best of each question;
-#: scores of a term in a document that it holds at once.
-PAIRS_AT_ONCE, PAIRS, TABLE = 250_000, 1_000_000, 2_000_000
+#: scores of a term in a document that it holds at once, rows of a batch that it gives.
+PAIRS_AT_ONCE, PAIRS, TABLE, ROWS = 250_000, 500_000, 1_000_000, 10_000
 
 
 # --- BM25 ---------------------------------------------------------------------------------------------------------
@@ -59,14 +59,14 @@ class _Best:
 
     def __init__(self, questions: int, k: int):
         self.k, self.floor, self.held, self.rows = k, np.full(questions, -np.inf), [], 0
-        self.keys, self.known, self.most = [np.zeros(0, object)], 0, max(PAIRS, 2 * k * questions)
+        self.keys, self.known, self.most = [np.zeros(0, object)], 0, max(PAIRS, 3 * k * questions // 2)
 
     def documents(self, keys: list[str]) -> int:
         """The number of the first of these documents."""
         if self.known > self.most:
             q, score, doc = self.cut()
             used, doc = np.unique(doc, return_inverse=True)
-            self.keys, self.known, self.held = [np.concatenate(self.keys)[used]], len(used), [(q, score, doc)]
+            self.keys, self.known, self.held = [np.concatenate(self.keys)[used]], len(used), [(q, score, doc.astype(np.int32))]
         self.keys.append(np.array(keys, object))
         self.known += len(keys)
         return self.known - len(keys)
@@ -82,15 +82,15 @@ class _Best:
         rows, cols = np.nonzero(scores >= np.maximum(low - 2e-9, np.nextafter(least, np.inf))[:, None])
         score = np.round(scores[rows, cols], 9)
         ok = score >= low[rows]  # ties may still have the smaller key
-        self.held.append((q[rows[ok]], score[ok], doc[cols[ok]]))
+        self.held.append((q[rows[ok]].astype(np.int32), score[ok], doc[cols[ok]].astype(np.int32)))
         self.rows += int(ok.sum())
         if self.rows > self.most:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q, score, doc = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        q, score, doc = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int32))
         used, place = np.unique(doc, return_inverse=True)
-        by_key = np.empty(len(used), np.int64)
+        by_key = np.empty(len(used), np.int32)
         by_key[np.argsort(np.concatenate(self.keys)[used], kind="stable")] = np.arange(len(used))
         order = np.lexsort((by_key[place], -score, q))
         q, score, doc = q[order], score[order], doc[order]
@@ -102,10 +102,12 @@ class _Best:
         self.held, self.rows = [(q[keep], score[keep], doc[keep])], int(keep.sum())
         return self.held[0]
 
-    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+    def batches(self, names: np.ndarray) -> Iterator[pa.RecordBatch]:
         q, score, doc = self.cut()
-        keys = np.concatenate(self.keys)[doc]
-        return pa.RecordBatch.from_arrays([pa.array(names[q], pa.string()), pa.array(keys, pa.string()), pa.array(score, pa.float64())], names=["query_id", "key", "score"])
+        keys = np.concatenate(self.keys)
+        for i in range(0, len(q), ROWS):
+            some = slice(i, i + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(names[q[some]], pa.string()), pa.array(keys[doc[some]], pa.string()), pa.array(score[some], pa.float64())], names=["query_id", "key", "score"])
 
 
 class _Sides:
@@ -174,7 +176,7 @@ def _bm25_block(asked: list[tuple[str, dict[str, int], str | None]], idf: dict[s
                 if not found.any():
                     continue
                 times = np.bincount(term[found] * docs + of[found], minlength=(len(terms) + 1) * docs).reshape(len(terms) + 1, docs).astype(np.float64)
-                held = times > 0
+                held = None if positive else times > 0
                 table = times * (K1 + 1)
                 table /= times + K1 * (1 - B + B * lengths / mean_length)
                 del times
@@ -188,7 +190,7 @@ def _bm25_block(asked: list[tuple[str, dict[str, int], str | None]], idf: dict[s
                         both = sums((held if at is None else held[:, at]).astype(np.float64), slot, np.ones(slot.shape))
                         scores[both == 0] = -np.inf
                     best.add(q, scores, first + columns, 0.0 if positive else -np.inf)
-        yield best.batch(names)
+        yield from best.batches(names)
 
     return _spread(held).mapInArrow(run, "query_id string, key string, score double")
 
@@ -331,7 +333,7 @@ def dense_texts(questions: DataFrame, vectors: DataFrame, embedder: Callable[[li
                     for rows, at in sides.of_block(part.column(1).to_pylist()):
                         columns = np.arange(len(v)) if at is None else at
                         best.add(rows, unit[rows] @ v[columns].T, first + columns)
-            yield best.batch(names)
+            yield from best.batches(names)
 
         return _spread(vectors.where("embedding is not null").select("key", "own", "embedding")).mapInArrow(run, "query_id string, key string, score double")
 

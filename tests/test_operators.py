@@ -540,3 +540,21 @@ def test_the_same_words_are_searched_once(spark):
     for r in got:
         lists.setdefault((r.query_id, r.pos), set()).add((r.final, r.chunk_id))
     assert all(lists[f"q{i}", p] == lists["q0", 0] and len(lists["q0", 0]) == retrieval.TOP_K for i in range(4) for p in (0, 1))
+
+
+def test_outcomes_store_no_list_of_agreements(spark):
+    """Nor what is not asked for: the list of all agreements is the answer to every question that needs none."""
+    chunks, entries = clauses(spark)
+    many = entries.unionByName(spark.range(3000).select(F.format_string("e%06d", "id").alias("doc_id"), F.format_string("Makers %d", "id").alias("company"), F.lit("Agreement").alias("kind"), F.lit("t").alias("title")))
+    q = spark.createDataFrame([("q1", "hello"), ("q2", "fee number 3")], "query_id string, raw_query string")
+    kept, stage = [], agent.staged
+    try:
+        agent.staged = lambda df, label: kept.append((label, out := stage(df, label))) or out
+        got = agent.answer(q, chunks, many)
+        assert got.log.count() and not {"agent_answers", "agent_checks"} & {x for x, _ in kept}
+        assert {(r.query_id, r.confidence) for r in got.questions.collect()} == {("q1", "high"), ("q2", "medium")}
+    finally:
+        agent.staged = stage
+    assert max(r.n or 0 for label, df in kept if label == "agent_answers" for r in df.select(F.length("answer").alias("n")).collect()) < 5000
+    answers = {r.query_id: r.answer for r in got.answers.collect()}
+    assert answers["q1"].count("\n- e00") == 3000 and "[d §3]" in answers["q2"]
